@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ferrule.llm import queries_corpus
+from ferrule.llm import queries_copies, queries_corpus
 
-MODULES = [queries_corpus]
+MODULES = [queries_corpus, queries_copies]
 
 
 def queries() -> dict[str, Callable]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -46,6 +47,7 @@ class Merges:
     def __init__(self, vocab: dict[str, int], merges: Iterable[Iterable[str]]):
         self.first = [vocab[c] for _, c in sorted(byte_letters().items())]
         self.pairs = {}
+        self.key = hash(tuple(sorted(vocab.items())))
         for rank, (a, b) in enumerate(merges):
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
 
@@ -114,9 +116,13 @@ class Merges:
         return out
 
 
+#: The same pattern where only ASCII can occur, for the faster standard engine.
+ASCII_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+
+
 @lru_cache(maxsize=2)
-def _word() -> regex.Pattern:
-    return regex.compile(WORD)
+def _finders() -> tuple:
+    return re.compile(ASCII_WORD).findall, regex.compile(WORD).findall
 
 
 class Encoder:
@@ -126,8 +132,8 @@ class Encoder:
         self.merges, self.known = merges, {}
 
     def words(self, texts: list[str | None]) -> list[list[str] | None]:
-        find, known = _word().findall, self.known
-        split = [None if t is None else find(t) for t in texts]
+        (ascii_words, any_words), known = _finders(), self.known
+        split = [None if t is None else ascii_words(t) if t.isascii() else any_words(t) for t in texts]
         new = {w for ws in split if ws for w in ws if w not in known}
         if new:
             if len(known) + len(new) > MEMORY_WORDS:
@@ -151,6 +157,17 @@ class Encoder:
         return [None if ws is None else sum(map(size.__getitem__, ws)) for ws in split]
 
 
+#: Encoders of this Python process by vocabulary: a worker runs one task after the other and keeps its words.
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(shared) -> Encoder:
+    if shared.value.key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[shared.value.key] = Encoder(shared.value)
+    return _ENCODERS[shared.value.key]
+
+
 def _blocks(texts: pa.Array, rows: int = 2048, size: int = 4_000_000) -> Iterator[list[str | None]]:
     """Consecutive texts, at most `rows` and about `size` characters together."""
     block, chars = [], 0
@@ -171,7 +188,7 @@ def _encoded(df: DataFrame, keys: list[str], text: str, out: str, tokenizer: str
     n_keys = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(merges.value)
+        encoder = _encoder(merges)
         for batch in batches:
             texts, at = batch.column(n_keys), 0
             for block in _blocks(texts):
