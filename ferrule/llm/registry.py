@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ferrule.llm import queries_copies, queries_corpus
+from ferrule.llm import queries_copies, queries_corpus, queries_sources
 
-MODULES = [queries_corpus, queries_copies]
+MODULES = [queries_corpus, queries_copies, queries_sources]
 
 
 def queries() -> dict[str, Callable]:
