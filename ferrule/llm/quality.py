@@ -21,15 +21,23 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 _GAP = re.compile(r"\S(?: {2,}|\t)(?=\S)")
-_ENDING = re.compile(r"[.!?:…。！？؟।][\"'”’»)\]]*\s*$")
+_STOPS, _QUOTES = frozenset([*".!?:…。！？؟।"]), " \t\r\n\f\v\"')]”’»"
+
+
+def _ends_sentence(text: str) -> bool:
+    """Whether the text ends in a stop, quotes and brackets aside."""
+    return text.rstrip(_QUOTES)[-1:] in _STOPS
+
+
 #: Lines that begin like comments, markup, list items, quotes of commands, headings or records.
 _LEAD = re.compile(r"\s*(?:#|//|/\*|\*(?!\w)|<!--|<|--|\"\"\"|'''|[-+•‣·▪*]\s|\[[ xX]?\]|\(?(?:\d{1,3}|[A-Za-z])[.)]\s|\||\+[-=]{3,}|[-=*_~#]{3,}|[{}\[\]@$]|\{\{)")
 _RECORD = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d|\[?(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b|\d{1,2}:\d\d:\d\d|File \"|at [\w.$]+\(|Traceback|\w+\[\d+\]:)|\S\t+\S")
 _CODE_END = re.compile(r"[{}();=\\<>|&]\s*$|[\w\])]\s*=>\s|;\s*$")
 _ASSIGN = re.compile(r"^\s*(?:export\s+)?[\w.\-\"'\[\]]+\s*(?::=|=|:)\s*\S+\s*$|->|=>|::|[!=<>]=|\w\(\w*\)|\w\.\w+\(|&&|\|\|")
+_CODE_SIGN = re.compile(r"[{}()=\\<>|&;:]")  # without one of these neither of the two matches
 _PLAIN = re.compile(r"[\"'“‘«¿¡(\[]*[^\W\d_]+(?:[-'’][^\W\d_]+)*[,.;:!?…\"'”’»)\]]*$")
 _NEUTRAL = re.compile(r"[(\"'“]*(?:`[^`]*`|\d[\d.,:%/-]*|[–—-]|[^\w\s]{1,2}|[^\W\d_]+\d+|\w*_\w*|[A-Za-z]*[a-z][A-Z]\w*)[,.;:!?)\"'”]*$")
-_SENTENCE = re.compile(r"\S.*?(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+)", re.S)
+_STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]")
 _KANA = re.compile(r"[ぁ-ん]")
 _CODE_SPAN = re.compile(r"`[^`\n]*`")
@@ -40,6 +48,16 @@ def _is_symbol(char: str) -> bool:
     return unicodedata.category(char)[0] in "PS"
 
 
+_ASCII_SYMBOLS = bytes(i for i in range(128) if _is_symbol(chr(i)))
+
+
+def _symbols(text: str) -> int:
+    """Punctuation and symbol characters of a text."""
+    if text.isascii():
+        return len(text) - len(text.encode().translate(None, _ASCII_SYMBOLS))
+    return sum(n for char, n in Counter(text).items() if _is_symbol(char))
+
+
 def layout(lines: list[str]) -> tuple[float, float, float]:
     """(delimiter alignment, indentation periodicity, line-length autocorrelation) of nonblank lines; 0 for
     fewer than three lines. Alignment: the largest share of lines with the same number (at least one) of a
@@ -54,7 +72,8 @@ def layout(lines: list[str]) -> tuple[float, float, float]:
         best = max(best, max((c for k, c in counts.items() if k), default=0))
     columns: Counter = Counter()
     for line in lines:
-        columns.update({m.end() for m in _GAP.finditer(line)})
+        if "  " in line or "\t" in line:
+            columns.update({m.end() for m in _GAP.finditer(line)})
     best = max(best, max(columns.values(), default=0))
     indents = [k for k in (len(x) - len(x.lstrip(" \t")) for x in lines) if k]
     step = min(indents, default=0)
@@ -67,22 +86,39 @@ def layout(lines: list[str]) -> tuple[float, float, float]:
 
 def _mostly_wide(text: str) -> bool:
     """Whether a script without blanks between words prevails."""
-    wide = len(_WIDE.findall(text)) if not text.isascii() else 0
+    if text.isascii() or not _WIDE.search(text):
+        return False
+    wide = len(_WIDE.findall(text))
     return 3 * wide > sum(map(str.isalpha, text)) > 0
 
 
+_KINDS: dict[str, int] = {}
+
+
+def _kind(part: str) -> int:
+    """1 for a plain word with its punctuation, 2 for what may stand among words, 0 for anything else."""
+    kind = _KINDS.get(part)
+    if kind is None:
+        kind = 2 if _NEUTRAL.match(part) else 1 if _PLAIN.match(part) else 0
+        if len(part) < 40:
+            if len(_KINDS) > 200_000:  # memory of a task, emptied when full
+                _KINDS.clear()
+            _KINDS[part] = kind
+    return kind
+
+
 def running_line(line: str) -> bool:
     """Whether a line may be part of running text, by its beginning, its end and its words."""
     if _LEAD.match(line) or _RECORD.match(line):
         return False
     if _mostly_wide(line):
         return bool(_KANA.search(line)) or "。" in line or "，" in line
-    bare = _CODE_SPAN.sub("`x`", line)
-    if _CODE_END.search(bare) and not bare.rstrip().endswith(")") or _ASSIGN.search(bare):
+    bare = _CODE_SPAN.sub("`x`", line) if "`" in line else line
+    if _CODE_SIGN.search(bare) and (_CODE_END.search(bare) and not bare.rstrip().endswith(")") or _ASSIGN.search(bare)):
         return False
     parts = bare.split()
-    neutral = sum(1 for p in parts if _NEUTRAL.match(p))
-    plain = sum(1 for p in parts if _PLAIN.match(p) and not _NEUTRAL.match(p))
+    kinds = [_kind(p) for p in parts]
+    neutral, plain = kinds.count(2), kinds.count(1)
     return plain >= 0.8 * (len(parts) - neutral) and plain >= 0.5 * len(parts)
 
 
@@ -110,16 +146,16 @@ def prose_share(text: str, common: frozenset[str]) -> float:
 
 def sentence_chars(paragraph: str, common: frozenset[str]) -> int:
     """Characters of a paragraph that stand in sentences: an ending, four words or more, function words."""
-    got = 0
-    for m in _SENTENCE.finditer(paragraph):
-        s = m.group()
+    got = begin = 0
+    for m in _STOP.finditer(paragraph):
+        s, begin = paragraph[begin : m.end()].strip(), m.end()
         if _mostly_wide(s):
             got += len(s) if len(s) >= 6 and (_KANA.search(s) or "。" in s) else 0
             continue
-        words = [w.lower() for w in WORD.findall(_CODE_SPAN.sub(" ", s)) if w[0].isalpha()]
+        words = [w for w in WORD.findall((_CODE_SPAN.sub(" ", s) if "`" in s else s).lower()) if w[0].isalpha()]
         if len(words) < 3:
             continue
-        known = sum(w in common for w in words) / len(words)
+        known = sum(map(common.__contains__, words)) / len(words)
         commas = s.count(",") + s.count(";")
         # Sentences of languages without a word list still open with a capital and are mostly lower case.
         foreign = not s.isascii() and s.lstrip("\"'“«¿¡(")[:1].isupper() and sum(w.islower() for w in WORD.findall(s)) >= 0.7 * len(words)
@@ -132,13 +168,13 @@ def statistics(text: str, common: frozenset[str]) -> tuple:
     words = WORD.findall(text)
     n = len(words)
     lines = [x for x in text.split("\n") if x.strip()]
-    symbols = sum(c for char, c in Counter(text).items() if _is_symbol(char))
+    symbols = _symbols(text)
     return (
         n,
         sum(map(len, words)) / n if n else None,
         symbols / len(text) if text else None,
-        sum(1 for x in lines if _ENDING.search(x)) / len(lines) if lines else None,
-        sum(w.lower() in common for w in words) / n if n else None,
+        sum(map(_ends_sentence, lines)) / len(lines) if lines else None,
+        sum(map(common.__contains__, WORD.findall(text.lower()))) / n if n else None,
         *layout(lines),
         min(1.0, prose_share(text, common)),
     )
