@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ferrule.plans import trailing
+from ferrule.plans import lexical, trailing
 
-MODULES = [trailing]
+MODULES = [trailing, lexical]
 
 
 def queries() -> dict[str, Callable]:
