@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ferrule.plans import lexical, trailing
+from ferrule.plans import lexical, logs, relations, trailing
 
-MODULES = [trailing, lexical]
+MODULES = [trailing, lexical, relations, logs]
 
 
 def queries() -> dict[str, Callable]:
