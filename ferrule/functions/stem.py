@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.session import small_side, spread
+
 # Suffix tables of the published algorithm.
 STEP2 = dict(
     ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", bli="ble", alli="al", entli="ent", eli="e", ousli="ous", ization="ize",
@@ -81,6 +83,16 @@ def stem_udf(terms: pd.Series) -> pd.Series:
     return terms.map(porter, na_action="ignore")
 
 
-def stems(terms: DataFrame, column: str = "term") -> DataFrame:
-    """(term, stem) of the distinct terms of a table; nulls are left out."""
-    return terms.select(F.col(column).alias("term")).where("term IS NOT NULL").distinct().withColumn("stem", stem_udf("term"))
+def stems(terms: DataFrame, column: str = "term", wanted: DataFrame | None = None) -> DataFrame:
+    """(term, stem) of the distinct terms of a table; nulls are left out.
+
+    With `wanted` (stem) only terms with one of those stems. Of a word of six letters or more, stemming leaves
+    the first two as they are, but for a y that may become i; most terms are ruled out by that in the JVM.
+    """
+    words = terms.select(F.col(column).alias("term")).where("term IS NOT NULL").distinct()
+    if wanted is None:
+        return spread(words).withColumn("stem", stem_udf("term"))
+    heads = small_side(wanted.select(F.translate(F.substring("stem", 1, 2), "y", "i").alias("head")).distinct())
+    near = words.where(F.length("term") > 5).withColumn("head", F.translate(F.substring("term", 1, 2), "y", "i")).join(heads, "head", "left_semi")
+    words = near.select("term").unionByName(words.where(F.length("term") <= 5))
+    return spread(words).withColumn("stem", stem_udf("term")).join(small_side(wanted.select("stem").distinct()), "stem", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
+from ferrule.session import small_side
 
 # Names that frameworks call.
 ENTRY_POINTS = (
@@ -21,8 +22,10 @@ def word_uses(lines: DataFrame, names: DataFrame) -> DataFrame:
     lines: path, line, line_text; names: name. Words are runs of letters, digits and underscores.
     """
     words = F.array_distinct(F.regexp_extract_all("line_text", F.lit(r"[\p{L}\p{N}_]+"), 0))
-    hit = lines.select("path", "line", "line_text", F.explode(words).alias("name")).join(names.select("name").distinct(), "name")
-    return hit.select("path", "line", "line_text", "name", X.usage_kind("path", "line_text", "name").alias("kind"))
+    # The patterns of a line run once, before its words are spread out.
+    seen = lines.select("path", "line", "line_text", X.called_names("line_text").alias("called"), words.alias("words"))
+    hit = seen.select("path", "line", "line_text", "called", F.explode("words").alias("name")).join(small_side(names.select("name").distinct()), "name")
+    return hit.select("path", "line", "line_text", "name", X.usage_kind("path", "line_text", "name", "called").alias("kind"))
 
 
 def usage_counts(uses: DataFrame) -> DataFrame:

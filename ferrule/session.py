@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "ferrule", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -41,3 +42,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ferrule/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A join side of a few short columns, written once; broadcast if it has at most `most` rows, else left to
+    a shuffle join. The check is a count, so what is sent to the executors has a proven bound."""
+    kept = materialize(df, "side")
+    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores. A scan of many files or row groups stays as
+    it is, without a shuffle; only a table that is one small file is dealt out to all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
