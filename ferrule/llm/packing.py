@@ -88,10 +88,12 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 2048, salts: int
     """
     cap = F.lit(capacity)
     given = items.select(F.col(key).alias("__k"), F.col(size).cast("long").alias("__n"))
-    parts = given.where(F.col("__n") > 0).withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / cap))))
-    parts = parts.select("__k", "__piece", F.least(cap.cast("long"), F.col("__n") - F.col("__piece") * cap).cast("int").alias("__size"))
-    parts = parts.withColumn("__salt", F.pmod(F.xxhash64("__k", "__piece"), F.lit(salts)).cast("int"))
-    parts = materialize(parts.unionByName(given.where(F.coalesce("__n", F.lit(0)) <= 0).select("__k", F.lit(0).cast("long").alias("__piece"), F.col("__n").cast("int").alias("__size"), F.lit(-1).alias("__salt"))), "sizes")
+    # One branch for all rows: the sizes come from a Python stage that must not run twice.
+    numbers = F.when(F.col("__n") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / cap))).otherwise(F.array(F.lit(0).cast("long")))
+    parts = given.select("__k", "__n", F.explode(numbers).alias("__piece"))
+    parts = parts.select("__k", "__piece", F.when(F.col("__n").isNotNull(), F.least(cap.cast("long"), F.col("__n") - F.col("__piece") * cap)).cast("int").alias("__size"))
+    salt = F.when(F.col("__size") > 0, F.pmod(F.xxhash64("__k", "__piece"), F.lit(salts)).cast("int")).otherwise(-1)
+    parts = materialize(parts.withColumn("__salt", salt), "sizes")
     placed, none = parts.where("__salt >= 0"), parts.where("__salt < 0")
 
     cells = placed.groupBy("__size", "__salt").agg(F.count(F.lit(1)).alias("__c"))

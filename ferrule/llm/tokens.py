@@ -148,13 +148,8 @@ class Encoder:
         return [None if ws is None else list(chain.from_iterable(map(known.__getitem__, ws))) for ws in self.words(texts)]
 
     def count(self, texts: list[str | None]) -> list[int | None]:
-        split = self.words(texts)
-        size = {}
-        for ws in split:
-            for w in ws or ():
-                if w not in size:
-                    size[w] = len(self.known[w])
-        return [None if ws is None else sum(map(size.__getitem__, ws)) for ws in split]
+        known = self.known
+        return [None if ws is None else sum(map(len, map(known.__getitem__, ws))) for ws in self.words(texts)]
 
 
 #: Encoders of this Python process by vocabulary: a worker runs one task after the other and keeps its words.
