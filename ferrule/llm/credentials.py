@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.session import spread
+
 HIDDEN = "REDACTED"
 
 # ---------------------------------------------------------------- required trigrams
@@ -298,7 +300,7 @@ def find_credentials(df: DataFrame, keys: list[str], text: str = "text") -> Data
                 cols = [batch.column(c).take(pa.array(rows, pa.int64())) for c in range(n)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(line, pa.int32()), pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(kind, pa.string())], names=schema.names)
 
-    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return spread(df.select(*keys, F.col(text).alias("__text"))).mapInArrow(run, schema)
 
 
 def redact(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -318,4 +320,4 @@ def redact(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
                 cols = [batch.column(c).slice(a, b - a) for c in range(n)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array([len(s) for s in spans], pa.int32())], names=schema.names)
 
-    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return spread(df.select(*keys, F.col(text).alias("__text"))).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.session import materialize
+from ferrule.session import materialize, spread
 
 _WORDS = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -132,7 +132,7 @@ def similar_classes(
     texts count. An empty table gives empty results; other columns are ignored.
     """
     symbols = segments * width
-    hashed = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("__k"), F.col(text).alias("__t"))
+    hashed = spread(df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("__k"), F.col(text).alias("__t")))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.session import materialize
+from ferrule.session import materialize, spread
 
 #: Folders for copies of other projects, and names that generators and bundlers give.
 VENDOR_FOLDERS = r"(^|/)(vendor|third[_-]?party|Pods|Carthage|extern|externals?|node_modules|bower_components|jspm_packages|deps|Godeps|site-packages|dist-packages)/"
@@ -106,7 +106,7 @@ def file_signals(chunks: DataFrame) -> DataFrame:
             got = np.array([signals(t.as_py(), line.as_py(), c.as_py()) for t, line, c in zip(batch.column(3), batch.column(2), batch.column(4))], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(5), *[pa.array(got[:, i]) for i in range(len(names))]], names=["workspace", "path", "code", "h", *names])
 
-    each = slim.mapInArrow(run, "workspace string, path string, code boolean, h long, " + ", ".join(f"{n} long" for n in names))
+    each = spread(slim).mapInArrow(run, "workspace string, path string, code boolean, h long, " + ", ".join(f"{n} long" for n in names))
     half = F.lit(2**32)
     sums = [F.sum(n).alias(n) for n in SUMS]
     return each.groupBy("workspace", "path").agg(F.max("code").alias("code"), *[F.max(n).alias(n) for n in names[:3]], *sums, F.sum(F.pmod("h", half)).alias("h1"), F.sum(F.pmod(F.shiftright("h", 32), half)).alias("h2"))

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.session import spread
+
 WORD = re.compile(r"\w+")
 _GAP = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 _STOPS, _QUOTES = frozenset([*".!?:…。！？؟।"]), " \t\r\n\f\v\"')]”’»"
@@ -209,6 +211,6 @@ def text_statistics(df: DataFrame, key: str, text: str, common_words: DataFrame,
             yield out
 
     key_type = df.schema[key].dataType.simpleString()
-    got = df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).mapInPandas(run, f"`{key}` {key_type}, {COLUMNS}")
+    got = spread(df.select(F.col(key).alias("__k"), F.col(text).alias("__t"))).mapInPandas(run, f"`{key}` {key_type}, {COLUMNS}")
     clean = [F.when(~F.isnan(n), F.col(n)).alias(n) for n in names[1:]]
     return got.select(key, "n_words", *clean, F.coalesce(F.col("prose_share") > with_prose, F.lit(False)).alias("is_prose"))

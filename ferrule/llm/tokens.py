@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 #: Unicode White_Space, and the public pattern that splits a text into words before merging.
@@ -198,7 +200,7 @@ def _encoded(df: DataFrame, keys: list[str], text: str, out: str, tokenizer: str
                     got = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([x is None for x in got]))
                 yield pa.RecordBatch.from_arrays([*cols, got], names=[*keys, out])
 
-    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return spread(df.select(*keys, F.col(text).alias("__text"))).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, keys: list[str], text: str = "text", out: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
