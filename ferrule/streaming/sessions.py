@@ -12,12 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 MEMORY_BYTES, MEMORY_CALLS, IDLE_SECONDS = 120_000, 10, 600
 
 
-def remembered(answers: DataFrame) -> DataFrame:
+def remembered(answers: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Which answers of a session were sent before: session, ts, item, size, repeat.
 
     answers: session, ts (TIMESTAMP), item, size, a stream or a table with one call a row. An item is a repeat
     while at most 120,000 bytes and less than ten calls lie between; more than 600 idle seconds forget all.
-    State is one map a session, dropped with it.
+    Idle time is event time; state is one map a session, dropped when the watermark passes its idle time.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -41,12 +41,12 @@ def remembered(answers: DataFrame) -> DataFrame:
                 seen[r.item] = (total, calls)
         seen = {k: v for k, v in seen.items() if total - v[0] <= MEMORY_BYTES and calls - v[1] < MEMORY_CALLS}
         state.update((total, calls, last, list(seen), [v[0] for v in seen.values()], [v[1] for v in seen.values()]))
-        state.setTimeoutDuration(IDLE_SECONDS * 1000)
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + IDLE_SECONDS * 1000 + 1)
         yield rows.assign(session=key[0], repeat=repeat)[["session", "ts", "item", "size", "repeat"]]
 
-    return answers.select("session", "ts", "item", "size").groupBy("session").applyInPandasWithState(
+    return answers.select("session", "ts", "item", "size").withWatermark("ts", late).groupBy("session").applyInPandasWithState(
         step, "session string, ts timestamp, item string, size long, repeat boolean",
-        "total long, calls long, last long, items array<string>, at_bytes array<long>, at_calls array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "total long, calls long, last long, items array<string>, at_bytes array<long>, at_calls array<long>", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
