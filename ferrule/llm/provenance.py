@@ -138,7 +138,7 @@ def foreign_files(chunks: DataFrame) -> DataFrame:
     shared = below.join(shared_subtrees(files), ["workspace", "dir"], "left_semi").select("workspace", "path").distinct().withColumn("subtree", F.lit(True))
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     data = F.col("code") & (share("data", "chars") > 0.8) & (F.col("chars") > 400)
-    minified = F.col("code") & ((share("chars", "lines") > 150) & (share("blanks", "chars") < 0.12) & (F.col("chars") > 300) | (F.col("bundled") > 0))
+    minified = F.col("code") & ((share("chars", "lines") > 150) & (share("blanks", "chars") < 0.14) & (F.col("chars") > 300) | (F.col("bundled") > 0))
     repeated = F.col("code") & (share("repeated", "body") > 0.8) & (F.col("body") >= 12)
     named = F.col("path").rlike(MADE_NAMES)
     judged = files.join(shared, ["workspace", "path"], "left").select(
