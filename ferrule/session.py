@@ -56,3 +56,10 @@ def spread(df: DataFrame) -> DataFrame:
     it is, without a shuffle; only a table that is one small file is dealt out to all cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that `materialize` wrote; call it when no result built on them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ferrule")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
