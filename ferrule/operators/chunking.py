@@ -30,3 +30,34 @@ def chunk_lines(chunks: DataFrame, keys: list[str] = ["path"], text: str = "text
     c = c.withColumn("__p", F.when((F.element_at("__p", -1) == "") & (F.size("__p") > F.col("end_line") - F.col("start_line") + 1), F.slice("__p", 1, F.size("__p") - 1)).otherwise(F.col("__p")))
     c = c.where(F.size("__p") == F.col("end_line") - F.col("start_line") + 1)
     return c.select(*keys, "start_line", F.posexplode("__p").alias("__i", "line_text")).select(*keys, (F.col("start_line") + F.col("__i")).alias("line"), "line_text")
+
+
+#: Lines that open a declaration, comments that belong to it, and files cut by declarations.
+DECLARATION = r"^\s*(?:(?:pub(?:\([^)]*\))?|async|unsafe|const|export|default)\s+)*(?:fn|function\*?|def)\s+[A-Za-z0-9_]+"
+COMMENT = r"^\s*(?://|#|/\*\*|\*)"
+SECTIONED = r"\.(?:rs|[cm]?js|jsx|ts|tsx|py)$"
+
+
+def chunk_code(files: DataFrame, path: str = "path", text: str = "text", limit: int = 40, declared: int = 120, overlap: int = 5) -> DataFrame:
+    """path, start_line, end_line, text: sections that begin at declarations, with the comments above them,
+    cut into windows of `declared` lines where a declaration opens the section, else of `limit`.
+
+    Only files that `SECTIONED` names are read by declarations; others are one plain section. Sections and
+    windows come from per-line flags within one row, so nothing is shuffled.
+    """
+    lines = F.split(F.regexp_replace(F.col(text), "\r\n|\r", "\n"), "\n", -1)
+    f = files.select(F.col(path).alias("path"), lines.alias("l")).withColumn("l", F.when(F.element_at("l", -1) == "", F.slice("l", 1, F.size("l") - 1)).otherwise(F.col("l"))).where(F.size("l") > 0)
+    # For each line (from 0) the first line of the comment block right above it: the state of a fold.
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("top"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, x: F.struct(
+        (a["i"] + 1).alias("i"),
+        F.when(x.rlike(COMMENT), a["top"]).otherwise(a["i"] + 1).alias("top"),
+        F.when(x.rlike(DECLARATION), F.array_append(a["starts"], a["top"])).otherwise(a["starts"]).alias("starts"),
+    )
+    starts = F.when(F.col("path").rlike(SECTIONED), F.aggregate("l", start, step, lambda a: a["starts"])).otherwise(F.array().cast("array<int>"))
+    s = f.withColumn("d", F.array_distinct(starts)).withColumn("b", F.array_sort(F.array_union(F.array(F.lit(0)), F.col("d"))))
+    s = s.select("path", "l", "d", "b", F.posexplode("b").alias("i", "a")).withColumn("z", F.coalesce(F.get("b", F.col("i") + 1), F.size("l")))
+    s = s.withColumn("m", F.when(F.array_contains("d", F.col("a")), declared).otherwise(limit)).where("z > a")
+    last = F.greatest(F.lit(0), F.ceil((F.col("z") - F.col("a") - F.col("m")) / (F.col("m") - overlap))).cast("int")
+    w = s.withColumn("k", F.explode(F.sequence(F.lit(0), last))).withColumn("s", F.col("a") + F.col("k") * (F.col("m") - overlap)).withColumn("e", F.least(F.col("s") + F.col("m"), F.col("z")))
+    return w.select("path", (F.col("s") + 1).alias("start_line"), F.col("e").alias("end_line"), F.array_join(F.slice("l", F.col("s") + 1, F.col("e") - F.col("s")), "\n").alias("text"))
