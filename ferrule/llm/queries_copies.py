@@ -22,4 +22,10 @@ def p4_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_links)}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p4_found": r"""WITH w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS l FROM chunks),
+      s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS g FROM w WHERE len(l) >= 3),
+      n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+      p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+      SELECT x AS chunk_id_a, y AS chunk_id_b FROM p JOIN n a ON a.chunk_id = x JOIN n b ON b.chunk_id = y WHERE c >= 0.6 * (a.n + b.n - c)""",
+}
