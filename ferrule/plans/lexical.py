@@ -9,11 +9,12 @@ from ferrule.functions import questions as Q
 from ferrule.functions import text as X
 from ferrule.functions.stem import stems
 from ferrule.operators import chunking, evaluation, index, ranges, ranking, requests
+from ferrule.session import spread
 from ferrule.sources.tables import table
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chunks").select("chunk_id", "workspace", "path", "start_line", "end_line", "text")
+    return spread(table(spark, folder, "chunks").select("chunk_id", "workspace", "path", "start_line", "end_line", "text"))
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
