@@ -125,32 +125,34 @@ _SECRET = (
 _NAME = _SECRET + r"\w{0,24}"
 #: Types and signs between a name and its value.
 _GIVEN = r"[\"'\]]?\s{0,4}(?::\s{0,2}(?:&\s?(?:'static\s)?str|String|string|str|char\s?\*|\[\]byte)\s{0,2}(?==))?(?::=|=>|=|:|\s\[\]\s?=|\[\]\s?=)\s{0,4}(?:b|r|u|f|@|\[\]byte\()?"
-_QUOTED = r"(?P<q>[\"'`])(?P<v>[^\"'`\n\r]{6,400})(?P=q)"
-_BARE = r"(?P<v>[^\s\"'`,;{}()<>\[\]]{6,300})(?=\s|,|;|$|\"|'|\}|\))"
+_QUOTED = r"(?P<q>[\"'`])(?P<v>[^\"'`\n\r]{6,}+)(?P=q)"
+_BARE = r"(?P<v>[^\s\"'`,;{}()<>\[\]]{6,}+)(?=\s|,|;|$|\"|'|\}|\))"
 
+#: Values have no upper length: what follows a cut would stay in clear text. They are possessive, as no shorter
+#: value can match where the longest does not.
 PATTERNS: dict[str, str] = {
     "private_key": r"(?P<v>-----BEGIN (?:[A-Z0-9]{2,10} ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:\\[rn]|[\s\"'+#/*;.&|\\]|(?:Proc-Type|DEK-Info|Version|Comment|Charset):[^\n]{0,80})*[A-Za-z0-9+/=]{16}(?:[A-Za-z0-9+/=\s\"'+#*,;:.&|()\\-](?!-----BEGIN))*?-----END (?:[A-Z0-9]{2,10} ){0,3}PRIVATE KEY(?: BLOCK)?-----|-----BEGIN (?:[A-Z0-9]{2,10} ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:\\[rn]|[\s\"'+#/*;.&|\\]|(?:Proc-Type|DEK-Info|Version|Comment|Charset):[^\n]{0,80})*[A-Za-z0-9+/=]{16,})",
-    "forge_token": r"(?<![A-Za-z0-9_])(?P<v>(?:ghp_|gho_|ghs_|ghu_|ghr_)[A-Za-z0-9]{20,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_\-]{20,}|glptt-[0-9a-f]{40})",
+    "forge_token": r"(?<![A-Za-z0-9_])(?P<v>(?:ghp_|gho_|ghs_|ghu_|ghr_)[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}|glptt-[0-9a-f]{40})",
     "service_token": r"(?<![A-Za-z0-9_])(?P<v>(?:sk|rk|pk)_live_[A-Za-z0-9]{16,}|(?:sk|rk)_test_[A-Za-z0-9]{16,}|whsec_[A-Za-z0-9+/=]{16,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|xapp-[A-Za-z0-9-]{20,}|npm_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_\-]{30,}|dop_v1_[0-9a-f]{40,}|shp(?:at|ca|pa|ss)_[0-9a-fA-F]{24,}|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|AIza[A-Za-z0-9_\-]{35}|ya29\.[A-Za-z0-9_\-]{20,}|sk-(?:proj-|ant-)?[A-Za-z0-9_\-]{24,}|dckr_pat_[A-Za-z0-9_\-]{20,}|hvs\.[A-Za-z0-9_\-]{20,}|lin_api_[A-Za-z0-9]{20,}|ntn_[A-Za-z0-9]{30,}|AGE-SECRET-KEY-1[A-Z0-9]{40,})",
     "cloud_key": r"(?<![A-Za-z0-9])(?P<v>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])",
     "signed_token": r"(?<![A-Za-z0-9_])(?P<v>eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{16,})",
-    "url_login": r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s/:@\"'`<>|]{0,80}:(?P<v>[^\s/@\"'`]{3,200})@[A-Za-z0-9\[]",
-    "header": r"(?i)\b(?:authorization|proxy-authorization|x-api-key|x-auth|x-auth-token|x-access-token|private-token|api-key|apikey|job-token|deploy-token|x-[a-z-]{1,20}(?:token|key|secret))[\"']?\s{0,3}[\])]?\s{0,2}(?:[:=,]|=>)\s{0,3}[\"'`]?\s{0,2}(?:(?:bearer|basic|token|digest|apikey)\s{1,2})?(?P<v>[A-Za-z0-9+/=_.~\-]{12,600})",
-    "bearer": r"(?i)\bbearer\s{1,2}(?P<v>[A-Za-z0-9+/=_.~\-]{16,600})",
-    "basic": r"(?i)[\"'\s:]basic\s{1,2}(?P<v>[A-Za-z0-9+/]{12,400}={0,2})(?=[\"'`\s,;)]|$)",
+    "url_login": r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s/:@\"'`<>|]{0,80}:(?P<v>[^\s/@\"'`]{3,}+)@[A-Za-z0-9\[]",
+    "header": r"(?i)\b(?:authorization|proxy-authorization|x-api-key|x-auth|x-auth-token|x-access-token|private-token|api-key|apikey|job-token|deploy-token|x-[a-z-]{1,20}(?:token|key|secret))[\"']?\s{0,3}[\])]?\s{0,2}(?:[:=,]|=>)\s{0,3}[\"'`]?\s{0,2}(?:(?:bearer|basic|token|digest|apikey)\s{1,2})?(?P<v>[A-Za-z0-9+/=_.~\-]{12,}+)",
+    "bearer": r"(?i)\bbearer\s{1,2}(?P<v>[A-Za-z0-9+/=_.~\-]{16,}+)",
+    "basic": r"(?i)[\"'\s:]basic\s{1,2}(?P<v>[A-Za-z0-9+/]{12,}+={0,2})(?=[\"'`\s,;)]|$)",
     "quoted": r"(?i)" + _NAME + _GIVEN + _QUOTED,
     "defined": r"(?i)#\s{0,3}define\s{1,4}\w{0,40}?" + _NAME + r"\s{1,4}" + _QUOTED,
     "bare": r"(?im)" + _NAME + r"[\"']?\s{0,4}(?:=|:)\s{0,4}" + _BARE,
-    "connection": r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|accountkey|sharedaccesskey|sharedsecret|secret|passphrase)\s{0,2}=\s{0,2}(?P<v>[^\s;\"'`&]{5,300})(?=[;\"'`&\s]|$)",
-    "query": r"(?i)[?&;](?:[a-z_\-]{0,24}(?:token=|api_?key=|apikey=|key=|secret=|password=|passwd=|signature=|sig=|auth=))(?P<v>[A-Za-z0-9+/=_.~%\-]{12,400})",
-    "netrc": r"(?i)\blogin\s{1,4}\S{1,80}\s{1,4}pass(?:word|wd)\s{1,4}(?P<v>[^\s\"'`]{5,200})",
-    "flag": r"(?i)(?<!\S)--?(?:[a-z\-]{0,24}(?:password|passwd|pwd|token|api-?key|access-?key|secret-?key|secret|auth-?key|passphrase))(?:=|\s{1,3})[\"']?(?P<v>[^\s\"'`,;)]{6,300})",
-    "short_flag": r" -p(?:=|\s{1,2})?[\"']?(?P<v>[A-Za-z0-9][^\s\"'`,;)]{7,200})",
-    "user_flag": r"(?<!\S)(?:curl\b[^\n]{0,200}?\s-u|--user)(?:=|\s{1,3})[\"']?[^\s:\"'`$]{1,80}:(?P<v>[^\s\"'`@/]{5,200})",
-    "login_call": r"(?i)\b(?:\w*login|\w*auth|authenticate|sign_?in|log_?in|connect|basic_?auth|with_?credentials|set_?credentials|credentials)\s{0,2}\((?:\s{0,2}[\"'][^\"'\n]{0,120}[\"']\s{0,2},){1,3}\s{0,2}(?P<q>[\"'])(?P<v>[^\"'\n]{5,200})(?P=q)\s{0,2}\)",
-    "told": r"(?i)\b(?:passwords?|passwort|kennwort|passphrase|passcode|token|secret|api key|access key|key|contraseña|clave|mot de passe|zugangsdaten|pin)\s(?:is|was|are|ist|war|lautet|es|era|est|était|now|:|=|->|to|of|for \S{1,40} is|für \S{1,40} ist)\s{0,2}:?\s{0,2}[\"'`(]?(?P<v>[^\s\"'`<>(){}]{6,200})",
-    "with_password": r"(?i)\b(?:with|using|mit|con|avec|and|und|use|the|dem|la|le|das|el)\s(?:the\s|dem\s|la\s|le\s|el\s|das\s)?(?:password|passwort|kennwort|passphrase|contraseña|clave|mot de passe|token|api key|secret|key)\s:?[\"'`(]?(?P<v>[^\s\"'`<>(){}]{6,200})",
-    "login_pair": r"(?i)\b(?:login|log in|logins|account|credentials?|creds|user|access|anmeldung|zugang|acceso|accès|use this for now|for now|sign in)\b[^\n:]{0,40}:\s{1,3}[\"'`]?[\w.@\-]{2,60}\s{0,2}(?:/|\||:|,)\s{1,2}[\"'`]?(?P<v>[^\s\"'`<>]{6,200})",
+    "connection": r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|accountkey|sharedaccesskey|sharedsecret|secret|passphrase)\s{0,2}=\s{0,2}(?P<v>[^\s;\"'`&]{5,}+)(?=[;\"'`&\s]|$)",
+    "query": r"(?i)[?&;](?:[a-z_\-]{0,24}(?:token=|api_?key=|apikey=|key=|secret=|password=|passwd=|signature=|sig=|auth=))(?P<v>[A-Za-z0-9+/=_.~%\-]{12,}+)",
+    "netrc": r"(?i)\blogin\s{1,4}\S{1,80}\s{1,4}pass(?:word|wd)\s{1,4}(?P<v>[^\s\"'`]{5,}+)",
+    "flag": r"(?i)(?<!\S)--?(?:[a-z\-]{0,24}(?:password|passwd|pwd|token|api-?key|access-?key|secret-?key|secret|auth-?key|passphrase))(?:=|\s{1,3})[\"']?(?P<v>[^\s\"'`,;)]{6,}+)",
+    "short_flag": r" -p(?:=|\s{1,2})?[\"']?(?P<v>[A-Za-z0-9][^\s\"'`,;)]{7,}+)",
+    "user_flag": r"(?<!\S)(?:curl\b[^\n]{0,200}?\s-u|--user)(?:=|\s{1,3})[\"']?[^\s:\"'`$]{1,80}:(?P<v>[^\s\"'`@/]{5,}+)",
+    "login_call": r"(?i)\b(?:\w*login|\w*auth|authenticate|sign_?in|log_?in|connect|basic_?auth|with_?credentials|set_?credentials|credentials)\s{0,2}\((?:\s{0,2}[\"'][^\"'\n]{0,120}[\"']\s{0,2},){1,3}\s{0,2}(?P<q>[\"'])(?P<v>[^\"'\n]{5,}+)(?P=q)\s{0,2}\)",
+    "told": r"(?i)\b(?:passwords?|passwort|kennwort|passphrase|passcode|token|secret|api key|access key|key|contraseña|clave|mot de passe|zugangsdaten|pin)\s(?:is|was|are|ist|war|lautet|es|era|est|était|now|:|=|->|to|of|for \S{1,40} is|für \S{1,40} ist)\s{0,2}:?\s{0,2}[\"'`(]?(?P<v>[^\s\"'`<>(){}]{6,}+)",
+    "with_password": r"(?i)\b(?:with|using|mit|con|avec|and|und|use|the|dem|la|le|das|el)\s(?:the\s|dem\s|la\s|le\s|el\s|das\s)?(?:password|passwort|kennwort|passphrase|contraseña|clave|mot de passe|token|api key|secret|key)\s:?[\"'`(]?(?P<v>[^\s\"'`<>(){}]{6,}+)",
+    "login_pair": r"(?i)\b(?:login|log in|logins|account|credentials?|creds|user|access|anmeldung|zugang|acceso|accès|use this for now|for now|sign in)\b[^\n:]{0,40}:\s{1,3}[\"'`]?[\w.@\-]{2,60}\s{0,2}(?:/|\||:|,)\s{1,2}[\"'`]?(?P<v>[^\s\"'`<>]{6,}+)",
 }
 
 
@@ -161,7 +163,7 @@ _HOLDER = re.compile(
 _REFERENCE = re.compile(
     r"(?i)^(?:os\.|env\.|process\.|config[.\[]|settings[.\[]|self\.|this\.|ctx\.|vault[:./]|secrets?[./:]|ssm:|arn:|projects/|op://|ref\+|file://|https?://|\w+\.(?:environ|getenv|env|get|read|fetch|load)\b|get_?env|getenv|\w+\(|&|\*|!|\\\$|@)"
 )
-_WORDLIKE = re.compile(r"^[a-z]+(?:[-_./: ][a-z]+)*$|^[A-Z]+(?:[-_./: ][A-Z]+)*$|^[A-Z]?[a-z]+(?:[A-Z][a-z]+)*(?:\.[a-z]+[A-Za-z]*)*$")
+_WORDLIKE = re.compile(r"^[a-z]+(?:[-_./: ][a-z]+)*$|^[A-Z]+(?:[-_./: ][A-Z]+)*$|^[A-Z]?[a-z]+(?:[A-Z][a-z]+)*(?:\.[a-z][A-Za-z]*+)*$")
 _NUMBER = re.compile(r"^[-+]?[\d.,_:]+(?:ms|s|m|h|d|kb|mb|k)?$|^0x[0-9a-f]{1,8}$", re.I)
 #: Endings of names that speak about a secret without holding it.
 _ABOUT = re.compile(
@@ -210,7 +212,7 @@ def _compiled() -> tuple[list[tuple[str, re.Pattern]], TrigramIndex]:
 
 #: A line that ends like this goes on in the next one.
 #: The next literal of a value that is joined from several.
-_JOINED = re.compile(r"[\"']\s{0,4}[+.\\]?\s{0,40}[\"'](?P<v>[A-Za-z0-9+/=_\-.!@#$%^&*]{4,400})(?=[\"'])")
+_JOINED = re.compile(r"[\"']\s{0,4}[+.\\]?\s{0,40}[\"'](?P<v>[A-Za-z0-9+/=_\-.!@#$%^&*]{4,}+)(?=[\"'])")
 _GOES_ON = re.compile(r"(?:[=(:+\\]|=>)\s*$")
 
 

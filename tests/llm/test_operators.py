@@ -164,6 +164,41 @@ def test_credentials(line, value):
     assert value is None or value not in hidden
 
 
+LONG = "".join(random.Random(5).choices("abcdefghijkmnpqrstuvwABCDEFGHIJKLMNPQRSTUVW23456789", k=4000))
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        'GOOGLE_CREDENTIALS="{}"',
+        '#define API_SECRET "{}"',
+        "client_key_data: {}",
+        "x = connect('Password={};Timeout=3')",
+        "curl -H 'Authorization: Bearer {}' x",
+        "see bearer {} there",
+        "auth = ' Basic {}'",
+        "get('https://host.test/a?api_key={}&b=1')",
+        "url = 'postgres://app:{}@db.example.test/x'",
+        "machine host.test login app password {}",
+        "tool --token {} --quiet",
+        "mysql -u app -p{} base",
+        "curl -u app:{} host.test",
+        "client.login('app', '{}')",
+        "the password is {} for now",
+        "log in with password {} please",
+        "// staging login: ops / {}",
+        'api_key = "aB3dE5gH7jK9" + "{}"',
+        "value = 'ghp_{}'",
+    ],
+)
+def test_long_values_are_hidden_whole(line):
+    text = f"before = 1\n{line.format(LONG)}\nafter = 2\n"
+    spans = credentials.find_in([text])[0]
+    assert spans and text.count("\n", 0, spans[0][0]) == 1
+    hidden = credentials.hide(text, spans)
+    assert not any(LONG[i : i + 12] in hidden for i in range(len(LONG) - 11))
+
+
 def test_index_never_loses_a_match():
     """A pattern's candidate lines hold every line that it matches."""
     rng = random.Random(9)
