@@ -210,12 +210,24 @@ def _compiled() -> tuple[list[tuple[str, re.Pattern]], TrigramIndex]:
     return patterns, TrigramIndex([required(p, re.ASCII) for p in PATTERNS.values()])
 
 
+#: Every match of a private key starts with this.
+_KEY_OPENS = "-----BEGIN "
 #: A line that ends like this goes on in the next one.
 #: The next literal of a value that is joined from several.
 _JOINED = re.compile(r"[\"']\s{0,4}[+.\\]?\s{0,40}[\"'](?P<v>[A-Za-z0-9+/=_\-.!@#$%^&*]{4,}+)(?=[\"'])")
 _GOES_ON = re.compile(r"(?:[=(:+\\]|=>)\s*$")
 
 
+def _keys(pattern: re.Pattern, whole: str, begin: int, end: int, last: int) -> Iterator[re.Match]:
+    """The private keys that start between `begin` and `end`; a key may reach to `last`."""
+    at = whole.find(_KEY_OPENS, begin, end)
+    while at >= 0:
+        m = pattern.match(whole, at, last)
+        if m:
+            yield m
+        at = whole.find(_KEY_OPENS, m.end() if m else at + 1, end)
+
+
 def find_in(texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """For each text the credentials as (start, end, kind), in order and without overlaps."""
     patterns, index = _compiled()
@@ -229,7 +241,7 @@ def find_in(texts: list[str]) -> list[list[tuple[int, int, str]]]:
             if kind == "private_key":
                 i = int(np.searchsorted(first, begin, "right")) - 1
                 last = int(first[i + 1]) - 1
-                hits = [m for m in pattern.finditer(whole, begin, last) if m.start() <= end][:1]
+                hits = _keys(pattern, whole, begin, end, last)
             else:
                 if n + 1 < len(ends) and _GOES_ON.search(whole, max(begin, end - 8), end):
                     end = ends[n + 1]
