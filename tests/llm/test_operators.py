@@ -266,6 +266,27 @@ def test_prose(text, prose):
     assert (quality.prose_share(text, COMMON) > 0.5) == prose
 
 
+_SAID = ("The cache was slow and it is not known why.", "The team found that a lock is held.", "It was the index and that is a pity.", "A reader is able to wait and to ask.", "The rest of it was fine to use.")
+
+
+@pytest.mark.parametrize(
+    "text,prose",
+    [
+        ("\n".join(f"{h:<9}{s}" for h, s in zip(("harbor", "depot", "gauge", "lantern", "kettle"), _SAID)), False),  # columns
+        ("\n".join(f"badge,{s[:-1]},depot, it is." for s in _SAID), False),  # fields
+        ("\n".join(f"{'  ' * (i % 3)}the {s[:-1] if i % 3 else s}" for i, s in enumerate(_SAID * 2)), False),  # nested entries
+        ("\n".join(x for s in _SAID for x in (f"“{s}” - “({s})” - “{s}”.", "“The one” - “that is the one”.")), False),  # records
+        ("\n".join(s.replace(" and", ", and").replace(" that", ", that").replace(" to use", ", to use") for s in _SAID), True),  # a comma a line
+        ("\n".join("    " + s for s in _SAID), True),  # indented as a whole
+        ("\n".join(_SAID), True),
+    ],
+)
+def test_layout_decides_what_can_be_running_text(text, prose):
+    assert (quality.prose_share(text, COMMON) > 0.5) == prose
+    mixed = text + "\n\n" + "\n".join(_SAID) * 9
+    assert quality.prose_share(mixed, COMMON) > 0.5
+
+
 def test_statistics_rows(spark):
     rows = [(1, "The end is near."), (2, None), (3, ""), (4, "\t \n")]
     common = spark.createDataFrame([("en", "the"), ("en", "is"), ("en", None)], "lang string, word string")
