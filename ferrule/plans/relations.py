@@ -19,14 +19,19 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, folder: str) -> DataFrame:
-    """Declared names of six letters or more."""
-    return index.symbols(_chunks(spark, folder)).where(F.length("name") >= 6).select("name").distinct()
+    """Every declared name."""
+    return index.symbols(_chunks(spark, folder)).select("name").distinct()
 
 
-def _uses(spark, folder):
+def _all_uses(spark, folder):
     return usages.word_uses(_lines(spark, folder), _names(spark, folder))
 
 
+def _uses(spark, folder):
+    """Uses of declared names of six letters or more, as the SQL of the queries on them has it."""
+    return usages.word_uses(_lines(spark, folder), _names(spark, folder).where(F.length("name") >= 6))
+
+
 def word_usages(spark, folder):
     return _uses(spark, folder).groupBy("path", "name").agg(F.count(F.lit(1)).alias("uses"), F.min("line").alias("first_line"))
 
@@ -48,7 +53,7 @@ def usage_listing(spark, folder):
 
 
 def tests_for(spark, folder):
-    return usages.tests_for(_uses(spark, folder))
+    return usages.tests_for(_all_uses(spark, folder))
 
 
 def _definitions(spark, folder):
@@ -69,7 +74,7 @@ def import_rows(spark, folder):
 
 def enclosing_definition(spark, folder):
     """Lines that mention a declared name, with the definition around them."""
-    return ranges.enclosing(_uses(spark, folder).select("path", "line").distinct(), _definitions(spark, folder))
+    return ranges.enclosing(_all_uses(spark, folder).select("path", "line").distinct(), _definitions(spark, folder))
 
 
 def enclosing_chunk(spark, folder):

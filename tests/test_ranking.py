@@ -7,6 +7,7 @@ from ferrule.functions.questions import asks_for_tests, gate_reason, names_in
 from ferrule.functions.stem import porter
 from ferrule.operators import evaluation, index, links, ranges, ranking, requests, symbols, usages
 from ferrule.operators.chunking import chunk_plain
+from ferrule.plans import relations
 
 CHUNK = "chunk_id long, workspace string, path string, start_line int, end_line int, text string"
 
@@ -83,6 +84,17 @@ def test_usages_and_unused(spark):
     assert [tuple(r) for r in usages.unused(defs, df).collect()] == [("a.py", "helper_two", "tests_only")]
 
 
+def stored(spark, tmp_path, rows):
+    chunks(spark, rows).write.parquet(f"{tmp_path}/chunks.parquet")
+    return str(tmp_path)
+
+
+def test_short_names_have_tests_and_definitions(spark, tmp_path):
+    folder = stored(spark, tmp_path, [("src/a.py", 1, 2, "def run():\n    return 1"), ("src/b.py", 1, 2, "def start():\n    return run()"), ("tests/test_b.py", 1, 1, "run()")])
+    assert {(r["name"], r["path"]) for r in relations.tests_for(spark, folder).collect()} >= {("run", "tests/test_b.py")}
+    assert {(r["path"], r["line"]): r["name"] for r in relations.enclosing_definition(spark, folder).collect()} == {("src/a.py", 1): "run", ("src/b.py", 1): "start", ("src/b.py", 2): "start", ("tests/test_b.py", 1): None}
+
+
 def test_definitions(spark):
     src = "class A:\n    @wrap\n    def run(self):\n        return 1\n"
     rows = [("a.py", src), ("b.go", "func Go(x int) {\n  y()\n}\n"), ("c.py", "def broken(:\n"), ("d.py", None)]
