@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ferrule.functions import questions as Q
 from ferrule.functions import text as X
 from ferrule.functions.stem import stems
-from ferrule.operators import chunking, evaluation, index, ranges, ranking, requests
+from ferrule.operators import chunking, evaluation, index, ranking, requests
 from ferrule.session import spread
 from ferrule.sources.tables import table
 
@@ -97,9 +97,9 @@ def shortlist(spark, folder):
 
 
 def shortlist_neighbours(spark, folder):
-    c = _chunks(spark, folder)
-    s = ranking.shortlist(c, table(spark, folder, "questions"), with_symbols=False)
-    return ranges.adjoining(s.where("rank <= 5"), s)
+    """The neighbours that the ranking lifts into the last places."""
+    scored, kept = ranking.scored_and_kept(_chunks(spark, folder), table(spark, folder, "questions"))
+    return ranking.neighbours(scored, kept).select("qid", "chunk_id", "rank")
 
 
 def _given(spark, folder):

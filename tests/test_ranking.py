@@ -7,7 +7,7 @@ from ferrule.functions.questions import asks_for_tests, gate_reason, names_in
 from ferrule.functions.stem import porter
 from ferrule.operators import evaluation, index, links, ranges, ranking, requests, symbols, usages
 from ferrule.operators.chunking import chunk_plain
-from ferrule.plans import relations
+from ferrule.plans import lexical, relations
 
 CHUNK = "chunk_id long, workspace string, path string, start_line int, end_line int, text string"
 
@@ -48,6 +48,19 @@ def test_overlaps_are_suppressed_from_half_of_the_shorter(spark):
     assert [r["chunk_id"] for r in got] == [1, 2, 4]
 
 
+def test_neighbours_outside_the_shortlist_are_lifted(spark, tmp_path):
+    rows = [("lib/a.md", 10, 11, "quartz quartz quartz"), ("lib/a.md", 12, 40, "quartz " + "filler " * 60), ("lib/a.md", 11, 12, "quartz " + "filler " * 50), ("lib/a.md", 1, 9, "nothing " * 9)]
+    rows += [(f"d{i}.md", 1, 1, "quartz one") for i in range(70)]
+    folder = stored(spark, tmp_path, rows)
+    questions(spark, "quartz").write.parquet(f"{tmp_path}/questions.parquet")
+    got = [tuple(r) for r in lexical.shortlist_neighbours(spark, folder).collect()]
+    assert got == [(0, 1, 1)]
+    ranked = {r["rank"]: r["chunk_id"] for r in ranking.shortlist(chunks(spark, rows), questions(spark, "quartz")).collect()}
+    assert sorted(ranked) == list(range(1, 61)) and ranked[1] == 0 and ranked[60] == 1
+    short = {r["rank"]: r["chunk_id"] for r in ranking.shortlist(chunks(spark, rows[:2]), questions(spark, "quartz")).collect()}
+    assert short == {1: 0, 2: 1}
+
+
 def test_reference_weight(spark):
     c = chunks(spark, [("lib.py", 1, 2, "def target_name():\n    pass"), ("a.py", 1, 1, "target_name()"), ("notes.md", 1, 1, "target_name")])
     got = index.reference_weights(index.symbols(c), index.identifiers(c)).collect()
