@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,27 @@ def chunk_lines(chunks: DataFrame, keys: list[str] = ["path"], text: str = "text
     return c.select(*keys, "start_line", F.posexplode("__p").alias("__i", "line_text")).select(*keys, (F.col("start_line") + F.col("__i")).alias("line"), "line_text")
 
 
+def joined_runs(chunks: DataFrame) -> DataFrame:
+    """path, start_line, text: chunks of a file that adjoin or overlap joined, so a file without gaps is one row.
+
+    Lines that an earlier chunk gave are left out. A gap begins a new row; a chunk whose number of lines is not
+    end_line - start_line + 1, or has no lines given, is a row of its own, as it is.
+    """
+    parts = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n", -1)
+    n = F.col("end_line") - F.col("start_line") + 1
+    c = chunks.where("path IS NOT NULL AND text IS NOT NULL").select("path", "start_line", "end_line", "text", parts.alias("p"))
+    c = c.withColumn("p", F.when((F.element_at("p", -1) == "") & (F.size("p") > n), F.slice("p", 1, F.size("p") - 1)).otherwise(F.col("p")))
+    fits = F.coalesce(F.size("p") == n, F.lit(False))
+    odd = c.where(~fits).select("path", "start_line", "text")
+    w = Window.partitionBy("path").orderBy("start_line", F.desc("end_line"), "text")
+    c = c.where(fits).withColumn("before", F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    c = c.withColumn("run", F.count_if(F.col("before").isNull() | (F.col("start_line") > F.col("before") + 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = F.greatest(F.lit(0), F.coalesce(F.col("before") - F.col("start_line") + 1, F.lit(0))).cast("int")
+    c = c.where(seen < F.size("p")).select("path", "run", "start_line", F.array_join(F.slice("p", seen + 1, F.size("p")), "\n").alias("t"), (F.col("start_line") + seen).alias("at"))
+    runs = c.groupBy("path", "run").agg(F.min("start_line").alias("start_line"), F.array_sort(F.collect_list(F.struct("at", "t"))).alias("l"))
+    return runs.select("path", "start_line", F.array_join(F.col("l.t"), "\n").alias("text")).unionByName(odd)
+
+
 #: Lines that open a declaration, comments that belong to it, and files cut by declarations.
 DECLARATION = r"^\s*(?:(?:pub(?:\([^)]*\))?|async|unsafe|const|export|default)\s+)*(?:fn|function\*?|def)\s+[A-Za-z0-9_]+"
 COMMENT = r"^\s*(?://|#|/\*\*|\*)"

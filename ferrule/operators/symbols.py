@@ -42,7 +42,12 @@ def python_definitions(text: str) -> list[tuple[str, str, str, int, int]] | None
 def lexical_definitions(text: str) -> list[tuple[str, str, str, int, int]]:
     """The same by lines: a body ends with its closing brace or `end`, else before the next line that is not
     indented more."""
-    lines = text.splitlines()
+    lines = re.split(r"\r\n|\r|\n", text)
+    lines = lines if lines[-1] else lines[:-1]
+    braces = [line.count("{") - line.count("}") for line in lines]
+    opens = ["{" in line for line in lines]
+    # The indents of lines; a blank one ends nothing.
+    indents = [len(line) - len(line.lstrip()) if line.strip() else len(text) for line in lines]
     out = []
     for i, line in enumerate(lines):
         m = _DEF.match(line)
@@ -51,10 +56,9 @@ def lexical_definitions(text: str) -> list[tuple[str, str, str, int, int]]:
         depth, end, opened = 0, i, False
         indent = len(m["i"])
         for j in range(i, len(lines)):
-            depth += lines[j].count("{") - lines[j].count("}")
-            opened = opened or "{" in lines[j]
-            own = len(lines[j]) - len(lines[j].lstrip())
-            if opened and depth <= 0 or not opened and j > i and lines[j].strip() and own <= indent:
+            depth += braces[j]
+            opened = opened or opens[j]
+            if opened and depth <= 0 or not opened and j > i and indents[j] <= indent:
                 end = j if opened or lines[j].strip().startswith("end") else j - 1
                 break
             end = j

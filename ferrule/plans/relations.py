@@ -57,7 +57,9 @@ def tests_for(spark, folder):
 
 
 def _definitions(spark, folder):
-    return symbols.definitions(_chunks(spark, folder).where(X.is_code_path("path")), start_line="start_line")
+    """From whole files: a definition may run past its chunk."""
+    files = chunking.joined_runs(_chunks(spark, folder).where(X.is_code_path("path")))
+    return symbols.definitions(files, start_line="start_line")
 
 
 def definitions(spark, folder):

@@ -108,6 +108,14 @@ def test_short_names_have_tests_and_definitions(spark, tmp_path):
     assert {(r["path"], r["line"]): r["name"] for r in relations.enclosing_definition(spark, folder).collect()} == {("src/a.py", 1): "run", ("src/b.py", 1): "start", ("src/b.py", 2): "start", ("tests/test_b.py", 1): None}
 
 
+def test_definitions_run_past_their_chunk(spark, tmp_path):
+    rows = [("a.py", 1, 3, "class Holder:\n    def first(self):\n        return 1\n"), ("a.py", 4, 5, "    def second_one(self):\n        return self.second_one()"), ("a.py", 5, 6, "        return self.second_one()\n        # end"), ("a.py", 9, 9, "    def apart(self): pass"), ("b.go", 1, 2, "func Long(x int) {\n  y()"), ("b.go", 3, 4, "  Long(1)\n}")]
+    folder = stored(spark, tmp_path, rows)
+    got = {(r["path"], r["qualified"], r["kind"], r["start_line"], r["end_line"]) for r in relations.definitions(spark, folder).collect()}
+    assert got == {("a.py", "Holder", "class", 1, 5), ("a.py", "Holder.first", "method", 2, 3), ("a.py", "Holder.second_one", "method", 4, 5), ("a.py", "apart", "function", 9, 9), ("b.go", "Long", "function", 1, 4)}
+    assert {r["name"] for r in relations.unused_definitions(spark, folder).collect()} >= {"Long", "second_one"}
+
+
 def test_definitions(spark):
     src = "class A:\n    @wrap\n    def run(self):\n        return 1\n"
     rows = [("a.py", src), ("b.go", "func Go(x int) {\n  y()\n}\n"), ("c.py", "def broken(:\n"), ("d.py", None)]
