@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
-from ferrule.session import small_side
+from ferrule.session import materialize, small_side
 
 # Names that frameworks call.
 ENTRY_POINTS = (
@@ -65,15 +65,44 @@ def listing(uses: DataFrame, files: int = 12, rows: int = 40) -> DataFrame:
     return u.join(n, ["name", "path"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= rows).select("name", "path", "line", "kind", "place")
 
 
-def tests_for(uses: DataFrame, limit: int = 8) -> DataFrame:
-    """name, path, uses, line, rank: test files that use a name; a line that declares what is tested comes
-    first as the cited one, files named after it and with most uses first."""
-    t = uses.where(X.is_test_path("path"))
+def _named_for(path: str) -> Column:
+    """The names that a test file's own name may be made of: with and without the marks of a test."""
+    stem = _stem(path)
+    marks = ("^test_", "_test$", "_spec$", "test$", "tests$", "^test")
+    return F.filter(F.array_distinct(F.array(stem, *[F.regexp_replace(stem, m, "") for m in marks])), lambda c: F.length(c) >= 3)
+
+
+def _stem(path: str) -> Column:
+    return F.substring_index(F.lower(F.substring_index(path, "/", -1)), ".", 1)
+
+
+def tests_for(uses: DataFrame, declared: DataFrame, paths: DataFrame, limit: int = 8) -> DataFrame:
+    """name, defined_in, path, uses, line, confidence, rank: the tests of each definition (name, path).
+
+    A test file named after the definition's file or its name has high confidence, even with no use of the
+    name (uses 0, line null), any other that uses it medium; high ones and most uses come first, then the
+    path. A line that declares what is tested is the cited one. The definition's own file is no test of it.
+    """
     anchor = F.col("line_text").rlike(X.TEST_ANCHOR)
-    g = t.groupBy("name", "path").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct(~anchor, F.col("line"))).alias("a"))
-    named = X.file_stem("path") == F.lower("name")
-    w = Window.partitionBy("name").orderBy(named.desc(), F.desc("uses"), "path")
-    return g.select("name", "path", "uses", F.col("a.line").alias("line"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= limit)
+    g = uses.where(X.is_test_path("path")).groupBy("name", "path").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct(~anchor, F.col("line"))).alias("a"))
+    g = materialize(g.select("name", "path", "uses", F.col("a.line").alias("line")), "tests")
+    named = paths.select("path").distinct().where(X.is_test_path("path")).select("path", F.explode(_named_for("path")).alias("key"))
+    d = declared.select("name", F.col("path").alias("defined_in")).distinct()
+    keyed = d.select("*", F.explode(F.filter(F.array_distinct(F.array(_stem("defined_in"), F.lower("name"))), lambda c: F.length(c) >= 3)).alias("key"))
+
+    def first(df, keys, order, n):
+        return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= n).drop("n")
+
+    # What cannot be among a definition's rows is cut before the joins, so no hot name meets all tests; one more
+    # for the definition's own file, and for tests without a use those that have some.
+    most = [F.desc("uses"), "path"]
+    silent = keyed.join(first(named, ["key"], ["path"], 2 * limit + 1), "key").select("name", "defined_in", "path", F.lit(0).cast("long").alias("uses"), F.lit(None).cast("int").alias("line"), F.lit(True).alias("high"))
+    spoken = keyed.join(first(g.join(named, "path"), ["name", "key"], most, limit + 1), ["name", "key"]).select(*silent.columns[:-1], F.lit(True).alias("high"))
+    other = d.join(first(g, ["name"], most, limit + 1), "name").select(*silent.columns[:-1], F.lit(False).alias("high"))
+    t = silent.unionByName(spoken).unionByName(other).where("path <> defined_in")
+    t = t.groupBy("name", "defined_in", "path").agg(F.max("uses").alias("uses"), F.min("line").alias("line"), F.max("high").alias("high"))
+    w = Window.partitionBy("name", "defined_in").orderBy(F.desc("high"), *most)
+    return t.select("name", "defined_in", "path", "uses", "line", F.when(F.col("high"), "high").otherwise("medium").alias("confidence"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= limit)
 
 
 def unused(definitions: DataFrame, lines: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def usage_listing(spark, folder):
 
 
 def tests_for(spark, folder):
-    return usages.tests_for(_all_uses(spark, folder))
+    c = _chunks(spark, folder)
+    return usages.tests_for(_all_uses(spark, folder), index.symbols(c), c)
 
 
 def _definitions(spark, folder):

@@ -108,6 +108,21 @@ def test_short_names_have_tests_and_definitions(spark, tmp_path):
     assert {(r["path"], r["line"]): r["name"] for r in relations.enclosing_definition(spark, folder).collect()} == {("src/a.py", 1): "run", ("src/b.py", 1): "start", ("src/b.py", 2): "start", ("tests/test_b.py", 1): None}
 
 
+def test_tests_named_after_a_file_count_without_a_use(spark):
+    uses = spark.createDataFrame([("t/x_test.py", 3, "probe_one()", "probe_one"), ("t/x_test.py", 4, "probe_one()", "probe_one"), ("tests/test_probe.py", 7, "probe_two()", "probe_two")], "path string, line int, line_text string, name string")
+    declared = spark.createDataFrame([("probe_one", "src/probe.py"), ("probe_two", "src/probe.py"), ("probe_one", "tests/test_probe.py")], "name string, path string")
+    paths = spark.createDataFrame([("src/probe.py",), ("tests/test_probe.py",), ("src/probe.test.ts",), ("t/x_test.py",), ("src/probe_user.py",)], "path string")
+    got = sorted((r["defined_in"], r["name"], r["rank"], r["path"], r["uses"], r["line"], r["confidence"]) for r in usages.tests_for(uses, declared, paths).collect())
+    assert got == [
+        ("src/probe.py", "probe_one", 1, "src/probe.test.ts", 0, None, "high"),
+        ("src/probe.py", "probe_one", 2, "tests/test_probe.py", 0, None, "high"),
+        ("src/probe.py", "probe_one", 3, "t/x_test.py", 2, 3, "medium"),
+        ("src/probe.py", "probe_two", 1, "tests/test_probe.py", 1, 7, "high"),
+        ("src/probe.py", "probe_two", 2, "src/probe.test.ts", 0, None, "high"),
+        ("tests/test_probe.py", "probe_one", 1, "t/x_test.py", 2, 3, "medium"),
+    ]
+
+
 def test_definitions_run_past_their_chunk(spark, tmp_path):
     rows = [("a.py", 1, 3, "class Holder:\n    def first(self):\n        return 1\n"), ("a.py", 4, 5, "    def second_one(self):\n        return self.second_one()"), ("a.py", 5, 6, "        return self.second_one()\n        # end"), ("a.py", 9, 9, "    def apart(self): pass"), ("b.go", 1, 2, "func Long(x int) {\n  y()"), ("b.go", 3, 4, "  Long(1)\n}")]
     folder = stored(spark, tmp_path, rows)
