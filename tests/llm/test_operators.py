@@ -287,6 +287,47 @@ def test_layout_decides_what_can_be_running_text(text, prose):
     assert quality.prose_share(mixed, COMMON) > 0.5
 
 
+def test_decisions_change_without_layout():
+    """The same signs with the layout ones off: lists and tables of whole sentences then pass for prose."""
+    off = {k: 0.0 if k in quality.LAYOUT else w for k, w in quality.WEIGHTS.items()}
+    shapes = [
+        "\n".join(f"{i}. {s}" for i, s in enumerate(_SAID, 1)),
+        "\n".join(f"{h:<9}{s}" for h, s in zip(("harbor", "depot", "gauge", "lantern", "kettle"), _SAID)),
+        "\n".join(f"{'  ' * (i % 3)}the {s[:-1] if i % 3 else s}" for i, s in enumerate(_SAID * 2)),
+    ]
+    for text in shapes:
+        assert quality.prose_share(text, COMMON) <= 0.5 < quality.prose_share(text, COMMON, off), text
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "서버가 다시 시작되면 연결이 끊어집니다. 그래서 사용자는 다시 로그인해야 합니다.",
+        "เซิร์ฟเวอร์จะเริ่มต้นใหม่เมื่อการเชื่อมต่อขาดหาย ผู้ใช้จึงต้องเข้าสู่ระบบอีกครั้ง",
+        "يعيد الخادم التشغيل عندما ينقطع الاتصال. لذلك يجب على المستخدم تسجيل الدخول مرة أخرى.",
+        "कनेक्शन टूटने पर सर्वर फिर से शुरू होता है। इसलिए उपयोगकर्ता को फिर से लॉग इन करना होगा।",
+        "De server start opnieuw op als de verbinding wegvalt. Daarom moet de gebruiker zich nog een keer aanmelden.",
+        "Il server si riavvia quando la connessione cade. Per questo motivo l'utente deve accedere di nuovo.",
+        "Сервер перезапускается, когда соединение обрывается. Поэтому пользователь должен войти снова.",
+        "连接断开时服务器会重新启动。因此用户必须重新登录。",
+        "> The cache was slow and\n> it is not known why.\n> We are to wait for the answer.",
+    ],
+)
+def test_prose_of_any_language(text):
+    assert quality.prose_share(text, COMMON) > 0.5
+
+
+@pytest.mark.parametrize("text", ["警告 錯誤 資料", "ÐžÐ±Ñ€Ñƒ ÑÐµÑ€Ð²ÐµÑ€ ï¿½ Ã¼ke Ã©ne.", "Cargo fragment silo gateway batch route lantern meter.", "aGVsbG8gd29ybGQ= aGVsbG8gd29ybGQ=", "{\n  \"a\": \"The cache was slow.\",\n  \"b\": 3\n}"])
+def test_junk_of_any_script(text):
+    assert quality.prose_share(text, COMMON) <= 0.5
+
+
+def test_texts_are_measured_alone():
+    """A batch gives each text what it gets by itself, whatever stands beside it."""
+    texts = ["", "\n\n", *(t for t in _SAID), "\r\n".join(_SAID), "- a\n- b\n- c", "x" * 3000, "The \ud800 end is near and it is so. " * 3]
+    assert quality.prose_shares(texts, COMMON)[0] == [quality.prose_share(t, COMMON) for t in texts]
+
+
 def test_statistics_rows(spark):
     rows = [(1, "The end is near."), (2, None), (3, ""), (4, "\t \n")]
     common = spark.createDataFrame([("en", "the"), ("en", "is"), ("en", None)], "lang string, word string")
