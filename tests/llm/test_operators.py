@@ -244,6 +244,58 @@ def test_foreign_files(spark):
     assert got["src/made.py"]["generated"] and got["web/a.js"]["minified"] and got["src/table.c"]["data"] and got["tools/stuff/lib_a.py"]["vendored"]
 
 
+@pytest.mark.parametrize(
+    "text,made,copied",
+    [
+        ("/* generated by hand */\nint a;\n", False, False),
+        ("# generated files are skipped by the loader\n", False, False),
+        ("# this table is kept by hand, it is not generated\n", False, False),
+        ("# replaces the vendored parser\n", False, False),
+        ("# copyright (c) 2024 the harbor project\n", False, False),
+        ("# Copyright (c) 2024 the lantern authors\n", False, True),
+        ("// SPDX-FileCopyrightText: 2021 kettle contributors\n", False, True),
+        ("// vendored from kettle v1.2\n", False, True),
+        ("// bundled in v2 is the old parser\n", False, False),
+        ("// written by our team out of need\n", False, False),
+        ("// Emitted by tablegen from states.td\n", True, False),
+        ("# Auto-generated, do not edit.\n", True, False),
+        ("// plain words\n" * 200 + "// DO NOT EDIT.\n", True, False),
+    ],
+)
+def test_headers(text, made, copied):
+    (header, says, *_), _ = provenance.signals(text, 1, True, "harbor-index")
+    assert (bool(header), bool(says)) == (made, copied)
+
+
+def test_subtrees(spark):
+    """Copies of a library under other banners, versions, names and places; one of the two folders differs."""
+    code = {f"{d}/{n}": f"def {n}_{d}(x):\n    return x.{n}({i})\n\nLIMIT_{n} = {i}\n" for i, (d, n) in enumerate([("io", "read"), ("io", "send"), ("fmt", "show"), ("fmt", "trim")])}
+    rows = []
+    for w, root, banner, end in (("r1", "own/kite-1.2", "# kite, first copy\n", "\n"), ("r2", "x/y/kite-2.0", "# another banner\nimport os\n\n", "\r\n")):
+        for name, text in code.items():
+            # File names and chunk bounds don't matter.
+            whole = (banner + text).replace("\n", end)
+            cut = len(whole) // 2 if w == "r2" else 0
+            cut = whole.find("\n", cut) + 1 if cut else 0
+            path = f"{root}/{name}.py" if w == "r1" else f"{root}/{name}_copy.py"
+            rows += [(w, path, 1, whole[:cut]), (w, path, 9, whole[cut:])] if cut else [(w, path, 1, whole)]
+        rows.append((w, f"src/{w}.py", 1, f"def run_{w}(a):\n    return a.{w}(1)\n" * 3))
+    rows += [("r3", "own/fmt/show.py", 1, code["fmt/show"]), ("r3", "own/fmt/other.py", 1, "def other(a):\n    return a.other\n")]
+    files = provenance.file_signals(spark.createDataFrame(rows, "workspace string, path string, start_line int, text string"))
+    got = {tuple(r) for r in provenance.shared_subtrees(files).collect()}
+    assert got == {(w, f"{r}{d}") for w, r in (("r1", "own/kite-1.2"), ("r2", "x/y/kite-2.0")) for d in ("", "/io", "/fmt")} | {("r1", "own"), ("r2", "x/y")}  # these hold nothing else
+
+
+def test_cuts_do_not_change_a_file(spark):
+    text = "".join(f'  put("{i}", field_{i}, {i});\n' for i in range(40)) + "".join(f"  call{'x' * i}(a, b{'c' * i});\n" for i in range(6))
+    lines = text.splitlines(keepends=True)
+    rows = [("w", "a.js", 1, text)] + [("w", "b.js", 1 + i, "".join(lines[i : i + 3])) for i in range(0, len(lines), 3)]
+    got = {r["path"]: r.asDict() for r in provenance.file_signals(spark.createDataFrame(rows, "workspace string, path string, start_line int, text string")).drop("workspace").collect()}
+    assert {**got["a.js"], "path": ""} == {**got["b.js"], "path": ""} and got["a.js"]["repeated"] >= 40
+    empty = spark.createDataFrame([], "workspace string, path string, start_line int, text string")
+    assert provenance.foreign_files(empty).count() == 0
+
+
 COMMON = frozenset("the a is of and to it that was der die das und ist nicht le la et est".split())
 
 
