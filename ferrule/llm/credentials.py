@@ -13,8 +13,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from re import _constants as C
-from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +22,13 @@ from pyspark.sql import types as T
 
 from ferrule.session import spread
 
+try:  # the syntax trees of patterns, by the name they have in this or in older versions of Python
+    from re import _constants as C
+    from re import _parser
+except ImportError:
+    import sre_constants as C
+    import sre_parse as _parser
+
 HIDDEN = "REDACTED"
 
 # ---------------------------------------------------------------- required trigrams
@@ -152,17 +157,20 @@ PATTERNS: dict[str, str] = {
     "login_call": r"(?i)\b(?:\w*login|\w*auth|authenticate|sign_?in|log_?in|connect|basic_?auth|with_?credentials|set_?credentials|credentials)\s{0,2}\((?:\s{0,2}[\"'][^\"'\n]{0,120}[\"']\s{0,2},){1,3}\s{0,2}(?P<q>[\"'])(?P<v>[^\"'\n]{5,}+)(?P=q)\s{0,2}\)",
     "told": r"(?i)\b(?:passwords?|passwort|kennwort|passphrase|passcode|token|secret|api key|access key|key|contraseña|clave|mot de passe|zugangsdaten|pin)\s(?:is|was|are|ist|war|lautet|es|era|est|était|now|:|=|->|to|of|for \S{1,40} is|für \S{1,40} ist)\s{0,2}:?\s{0,2}[\"'`(]?(?P<v>[^\s\"'`<>(){}]{6,}+)",
     "with_password": r"(?i)\b(?:with|using|mit|con|avec|and|und|use|the|dem|la|le|das|el)\s(?:the\s|dem\s|la\s|le\s|el\s|das\s)?(?:password|passwort|kennwort|passphrase|contraseña|clave|mot de passe|token|api key|secret|key)\s:?[\"'`(]?(?P<v>[^\s\"'`<>(){}]{6,}+)",
-    "login_pair": r"(?i)\b(?:login|log in|logins|account|credentials?|creds|user|access|anmeldung|zugang|acceso|accès|use this for now|for now|sign in)\b[^\n:]{0,40}:\s{1,3}[\"'`]?[\w.@\-]{2,60}\s{0,2}(?:/|\||:|,)\s{1,2}[\"'`]?(?P<v>[^\s\"'`<>]{6,}+)",
+    "login_pair": r"(?i)\b(?:login|log in|logins|account|credentials?|creds|user|access|anmeldung|zugang|acceso|accès|sign in|use th(?:is|ese))\b[^\n:]{0,40}:\s{1,3}[\"'`]?[\w.@\-]{2,60}\s{0,2}(?:/|\||:|,)\s{1,2}[\"'`]?(?P<v>[^\s\"'`<>]{6,}+)",
+    "user_slash": r"\w: {1,3}[\"'`]?[\w.@\-]{2,60} / [\"'`]?(?P<v>[^\s\"'`<>]{8,}+)",
 }
 
 
 _HOLDER = re.compile(
-    r"(?i)^(?:your|my|the|some|any|enter|insert|paste|put|add|set|change|replace|fill)[-_ .]?|change[-_]?me|place[-_]?holder|^(?:xxx|\*\*\*|\.\.\.|___|---|###|000000)|^(.)\1{4,}$|^(?:todo|tbd|fixme|none|null|nil|true|false|undefined|redacted|hidden|removed|example|sample|dummy|fake|test|secret|password|token|n/?a|unset|empty|default|required|optional|string|str|bytes|bool|int|object)$"
-    r"|^(?:test|example|dummy|fake|sample|redacted)[-_ ]?(?:key|token|password|secret|value|pass)|[-_](?:here|goes[-_]here|placeholder)$|^<.*>?$|^\[.*\]$|^\{\{|^\$|^%[\w({]|^#\{|^@[\w{]|^\*+$|^x{4,}|\$\{|\{\{|<[a-z_ -]+>|^1234|^abcdef|^abc123$|^s3cr3t$|^hunter2$|^\.{3}|…"
+    r"(?i)^(?:your|my|the|some|any|enter|insert|paste|put|add|set|change|replace|fill)(?:[-_ .]|[a-z]{0,30}$)|change[-_]?me|place[-_]?holder|^(?:xxx|\*\*\*|\.\.\.|___|---|###|000000)|^(.)\1{4,}$|^(?:todo|tbd|fixme|none|null|nil|true|false|undefined|redacted|hidden|removed|example|sample|dummy|fake|test|secret|password|token|n/?a|unset|empty|default|required|optional|string|str|bytes|bool|int|object)$"
+    r"|^(?:test|example|dummy|fake|sample|redacted)[-_ ]?(?:key|token|password|secret|value|pass)|[-_](?:here|goes[-_]here|placeholder)$|^<.*>?$|^\[.*\]$|^\{\{|^\$[\d({]|^%[({]|^%\w+%$|^#\{|^@\{|^\*+$|^x{4,}|\$\{|\{\{|<[a-z_ -]+>|^1234|^abcdef|^abc123$|^s3cr3t$|^hunter2$|^\.{3}|…"
 )
 _REFERENCE = re.compile(
-    r"(?i)^(?:os\.|env\.|process\.|config[.\[]|settings[.\[]|self\.|this\.|ctx\.|vault[:./]|secrets?[./:]|ssm:|arn:|projects/|op://|ref\+|file://|https?://|\w+\.(?:environ|getenv|env|get|read|fetch|load)\b|get_?env|getenv|\w+\(|&|\*|!|\\\$|@)"
+    r"(?i)^(?:os\.|env\.|process\.|config[.\[]|settings[.\[]|self\.|this\.|ctx\.|vault[:./]|secrets?[./:]|ssm:|arn:|projects/|op://|ref\+|file://|https?://|\w+\.(?:environ|getenv|env|get|read|fetch|load)\b|get_?env|getenv|\w+\(|\\\$)"
 )
+#: Signs that references and pointers begin with; random values do as well.
+_SIGNS = "@!*&$%/"
 _WORDLIKE = re.compile(r"^[a-z]+(?:[-_./: ][a-z]+)*$|^[A-Z]+(?:[-_./: ][A-Z]+)*$|^[A-Z]?[a-z]+(?:[A-Z][a-z]+)*(?:\.[a-z][A-Za-z]*+)*$")
 _NUMBER = re.compile(r"^[-+]?[\d.,_:]+(?:ms|s|m|h|d|kb|mb|k)?$|^0x[0-9a-f]{1,8}$", re.I)
 #: Endings of names that speak about a secret without holding it.
@@ -177,13 +185,35 @@ def _entropy(v: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(v).values())
 
 
+def _kinds(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+def _restless(v: str) -> bool:
+    """Whether kinds of characters change as often as in random values, what joins words aside; names of code and
+    paths keep to a kind longer."""
+    kinds = [_kinds(c) for c in v if c not in "/-_."]
+    return sum(a != b for a, b in zip(kinds, kinds[1:])) >= 0.35 * len(kinds) > 0
+
+
+def _gibberish(v: str) -> bool:
+    """Whether a value without digits is random: restless, and its humps are no words."""
+    words = sum(len(w) for w in re.findall(r"[A-Z]?[a-z]{2,}", v) if re.search(r"[aeiouyAEIOUY]", w))
+    return len(v) >= 10 and _restless(v) and words < 0.7 * len(v)
+
+
 def is_literal(value: str, kind: str, before: str) -> bool:
     """Whether a matched value is a credential itself, not a placeholder, a reference or a name."""
-    v = value.strip().rstrip(".,;:!?)") if kind in ("told", "with_password", "login_pair", "bare") else value.strip()
+    v = value.strip().rstrip(".,;:!?)") if kind in ("told", "with_password", "login_pair", "user_slash", "bare") else value.strip()
     if kind in ("private_key", "forge_token", "service_token", "signed_token", "cloud_key"):
         return not re.search(r"(?i)example|xxxx|x{8}|0{10}|(.)\1{9}", v)
     if len(v) < 5 or " " in v and kind not in ("quoted", "defined") or _HOLDER.search(v) or _REFERENCE.search(v) or _NUMBER.match(v):
         return False
+    if v[0] in _SIGNS and not _restless(v):
+        return False
+    if kind in ("connection", "netrc") and v.isalpha() and not _gibberish(v):
+        # Words may be passwords where nothing else can stand: between the other parts of a login.
+        return kind == "netrc" or before.rstrip().lower().endswith((";pwd=", ";password=", "; pwd=", "; password="))
     if kind in ("quoted", "bare", "defined"):
         name = re.search(r"[\w.\-]+[\"'\]]?\s{0,4}(?::[^=\n]{0,30})?\s{0,3}(?::=|=>|=|:|\[\]\s?=)?[\s\w\[\]()@]{0,12}[\"'`]?$", before)
         name = re.match(r"[\w.\-]+", name.group()).group() if name else ""
@@ -194,11 +224,13 @@ def is_literal(value: str, kind: str, before: str) -> bool:
     mixed = any(c.isdigit() for c in v) + any(c.isupper() for c in v) + any(c.islower() for c in v) + any(not c.isalnum() for c in v)
     if kind in ("header", "bearer", "basic", "query"):
         return mixed >= 2 and _entropy(v) >= 3.0 and not _WORDLIKE.match(v)
-    if kind in ("told", "with_password", "login_pair", "flag", "short_flag", "user_flag", "bare"):
-        return any(c.isdigit() for c in v) and mixed >= 2 and not _CODE.search(v) and (kind != "bare" or _entropy(v) >= 2.8)
-    if _WORDLIKE.match(v):
+    code = _CODE.search(v) and not (v[0] == "/" and _restless(v))
+    if kind in ("told", "with_password", "login_pair", "user_slash", "flag", "short_flag", "user_flag", "bare"):
+        random = any(c.isdigit() for c in v) or kind != "bare" and _gibberish(v)
+        return random and mixed >= 2 and not code and (kind not in ("bare", "user_slash") or _entropy(v) >= 2.8)
+    if _WORDLIKE.match(v) and not _gibberish(v):
         return False
-    return mixed >= 2 and not _CODE.search(v)
+    return mixed >= 2 and not code
 
 
 _CODE = re.compile(r"\w\(|\)\.|->|::|\w\[|^\w+\.\w+\.|=>|^\.?/[a-z]|^[a-z_.\-]+(?:/[a-z_.\-]+)+$")

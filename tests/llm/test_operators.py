@@ -209,6 +209,31 @@ def test_all_private_keys_of_a_line():
     assert [text[s:e] for s, e, _ in credentials.find_in([text])[0]] == [keys[2]]
 
 
+@pytest.mark.parametrize(
+    "line,value",
+    [
+        ('password = "@lzPNBu7tUyuroC13oU"', "@lzPNBu7tUyuroC13oU"),
+        ('webhook_secret = "*Fndpx6xE4D7TW+dcmb"', "*Fndpx6xE4D7TW+dcmb"),
+        ('secret_key = "/uhh2FLf3GYtIEc0xJ7E"', "/uhh2FLf3GYtIEc0xJ7E"),
+        ("curl -H X-Api-Key:add1015689d4dc3b212722ee85cf78eaff7153f5 https://a.test", "add1015689d4dc3b212722ee85cf78eaff7153f5"),
+        ("deploy --user review --token=LoGvzfqdPQWmiaNBl --wait", "LoGvzfqdPQWmiaNBl"),
+        ("# the box at the corner: ops / EZGyZBhHv+wGocGmryeg", "EZGyZBhHv+wGocGmryeg"),
+        ('c = "Server=a.test;User Id=x;Pwd=YhaxsCrNikNerm;Encrypt=true"', "YhaxsCrNikNerm"),
+        ('password = "@mentioned"', None),
+        ("password: &DefaultPassword", None),
+        ('api_key = "!Ref ApiKey"', None),
+        ('token = "%(db_pass)s"', None),
+        ('token = "your-token-1"', None),
+        ("ratio: read / written", None),
+        ("deploy --token PadColdGlyph", None),
+        ('secret_dir = "/var/lib/app2"', None),
+    ],
+)
+def test_random_values_and_references(line, value):
+    (spans,) = credentials.find_in([line])
+    assert [line[a:b] for a, b, _ in spans] == ([] if value is None else [value])
+
+
 def test_index_never_loses_a_match():
     """A pattern's candidate lines hold every line that it matches."""
     rng = random.Random(9)
