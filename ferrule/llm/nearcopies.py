@@ -10,8 +10,11 @@ at similarity s they miss each other with probability (1 - s^w - w s^(w-1) (1-s)
 defaults 0.3 % at 0.6, 0.01 % at 0.7.
 
 Exact copies are one class with a member list, so a text that makes up a third of the corpus costs one
-fingerprint. A table entry shared by more than `crowd` classes is compared block by block, on fingerprints
-in numpy, giving out agreeing pairs only; no group is ever held as a whole or expanded into all its pairs.
+fingerprint. A table entry shared by more than `crowd` classes (texts with one licence header, say) is entered
+again under 40 triples of further symbols, so that only classes that agree in more than the common part meet; at
+similarity 0.6 a pair meets in none of them with a probability of 0.006 %. What is crowded even there is
+compared block by block, on fingerprints in numpy, giving out agreeing pairs only; no group is ever held as a
+whole or expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -73,6 +76,18 @@ class Shingler:
         return out
 
 
+    def ordered(self, text: str) -> np.ndarray:
+        """Hashes of a text's words with their places."""
+        h = self._word_hashes(_WORDS(text.lower()))
+        return _scramble(h + np.arange(len(h), dtype=np.uint64) * _MIX)
+
+
+def _digest(hashes: np.ndarray) -> int:
+    """One number for a set of hashes, whatever their order."""
+    mixed = np.bitwise_xor.reduce(_scramble(hashes + _MIX), keepdims=True) if len(hashes) else np.zeros(1, np.uint64)
+    return int(_scramble(mixed + np.uint64(len(hashes)))[0]) - 2**63
+
+
 def fingerprints(sets: list[np.ndarray], symbols: int) -> np.ndarray:
     """[text, symbol] UINT32: for each of `symbols` hash functions the smallest hash of the (nonempty) sets."""
     sizes = np.array([len(s) for s in sets])
@@ -104,6 +119,18 @@ def table_keys(prints: np.ndarray, segments: int, width: int) -> np.ndarray:
     return out.reshape(len(prints), -1).view(np.int64)
 
 
+TRIPLES = 40
+
+
+def finer_keys(prints: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """[row, TRIPLES] INT64: an entry again with each of some triples of symbols, the same ones for all entries."""
+    rng = np.random.default_rng(11)
+    h = _scramble(entry.view(np.uint64))[:, None] * _MIX + np.arange(TRIPLES, dtype=np.uint64)
+    for column in np.array([rng.choice(prints.shape[1], 3, replace=False) for _ in range(TRIPLES)]).T:
+        h = _scramble(h * _MIX + prints[:, column].astype(np.uint64))
+    return h.view(np.int64)
+
+
 def _pieces(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -143,7 +170,8 @@ def similar_classes(
                 full = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
                 made = fingerprints(full, symbols)
                 # The set itself names the class: texts that differ only in separators have the same pairs.
-                digest = [int(_scramble(np.bitwise_xor.reduce(_scramble(s + _MIX), keepdims=True) + np.uint64(len(s)))[0]) - 2**63 if len(s) else None for s in sets]
+                # Texts too short for a sequence are told apart by their words in order.
+                digest = [_digest(s if len(s) else shingler.ordered(t)) for s, t in zip(sets, texts[part])]
                 yield pa.RecordBatch.from_arrays([keys.slice(part.start, part.stop - part.start), pa.array(digest, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([m.tobytes() for m in made], pa.binary())], names=["key", "set", "shingles", "print"])
 
     marked = materialize(hashed.mapInArrow(prints, "key long, set long, shingles int, print binary"), "prints")
@@ -215,10 +243,10 @@ def _pairs_of(marked: DataFrame, texts: DataFrame, similarity: float, words: int
     symbols = segments * width
     # Fingerprints of pairs at the threshold agree in similarity x symbols of them, within four deviations.
     least = max(1, int(np.floor(symbols * similarity - 4 * np.sqrt(symbols * similarity * (1 - similarity)))))
-    reps = marked.where("set IS NOT NULL").groupBy("set", "shingles").agg(F.min("key").alias("rep"), F.min("print").alias("print"))
+    reps = marked.groupBy("set", "shingles").agg(F.min("key").alias("rep"), F.min("print").alias("print"))
     reps = materialize(reps, "classes")
-    member = marked.select("key", "set", "shingles").join(reps.select("set", "shingles", "rep"), ["set", "shingles"], "left")
-    member = member.select("key", F.coalesce("rep", "key").alias("rep"), "shingles")
+    member = marked.select("key", "set", "shingles").join(reps.select("set", "shingles", "rep"), ["set", "shingles"]).select("key", "rep", "shingles")
+    reps = reps.where("shingles > 0")
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -227,8 +255,9 @@ def _pairs_of(marked: DataFrame, texts: DataFrame, similarity: float, words: int
                 made = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(part.num_rows, symbols)
                 yield part.column(0).to_numpy(zero_copy_only=False), table_keys(made, segments, width)
 
-    # An entry that holds the share HOT of all classes holds it in some block of 2,000 as well, so this finds
-    # every such entry; the list is short unless copies stand side by side all over, and its length is checked.
+    # An entry that holds the share HOT of all classes holds it in some block of 2,000 as well, so this finds every
+    # such entry (of blocks under 2,000 those with HOT_LEAST classes); they go past the first shuffle. The list is
+    # short unless copies stand side by side all over; its length is checked, and beyond it the shuffle takes them.
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for reps_, entries in keys_of(batches):
             if len(reps_) >= HOT_LEAST:
@@ -251,11 +280,26 @@ def _pairs_of(marked: DataFrame, texts: DataFrame, similarity: float, words: int
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(flat[at])], names=["rep", "entry"])
 
     # The tables: one shuffle by entry, then a stream over runs of equal entries.
-    entries = reps.select("rep", "print").mapInArrow(keys, "rep long, entry long")
-    meeting = entries.repartition("entry").sortWithinPartitions("entry").mapInArrow(lambda it: _meetings(it, crowd), "a long, b long, entry long")
-    meeting = materialize(meeting, "meetings")
+    def meet(entries: DataFrame, name: str) -> DataFrame:
+        runs = entries.repartition("entry").sortWithinPartitions("entry").mapInArrow(lambda it: _meetings(it, crowd), "a long, b long, entry long")
+        return materialize(runs, name)
+
+    meeting = meet(reps.select("rep", "print").mapInArrow(keys, "rep long, entry long"), "meetings")
+    crowded = meeting.where("b IS NULL").select(F.col("a").alias("rep"), "entry")
+    if len(hot):
+        crowded = crowded.unionByName(reps.select("rep", "print").mapInArrow(hot_keys, "rep long, entry long"))
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                made = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint32).reshape(part.num_rows, symbols)
+                got = finer_keys(made, part.column(1).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), TRIPLES)), pa.array(got.ravel())], names=["rep", "entry"])
+
+    again = meet(crowded.join(reps.select("rep", "print"), "rep").select("rep", "entry", "print").mapInArrow(finer, "rep long, entry long"), "finer")
     prints_ = reps.select("rep", "print", "shingles")
-    small = meeting.where("b IS NOT NULL").select("a", "b").distinct()
+    small = meeting.where("b IS NOT NULL").select("a", "b").unionByName(again.where("b IS NOT NULL").select("a", "b")).distinct()
     small = small.join(prints_.select(F.col("rep").alias("a"), F.col("print").alias("pa"), F.col("shingles").alias("na")), "a").join(prints_.select(F.col("rep").alias("b"), F.col("print").alias("pb"), F.col("shingles").alias("nb")), "b")
     # Sets of too different sizes cannot be alike; exact, and free.
     sizes_fit = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - F.lit(1e-9)
@@ -270,11 +314,9 @@ def _pairs_of(marked: DataFrame, texts: DataFrame, similarity: float, words: int
 
     found = small.where(sizes_fit).select("a", "b", "pa", "pb").mapInArrow(agree, "a long, b long")
 
-    # Crowded entries: classes in salted blocks of about `crowd` x 8, every pair of blocks its own small group.
+    # What is still crowded: classes in salted blocks of about `crowd` x 8, every pair of blocks its own small group.
     block = 8 * crowd
-    big = meeting.where("b IS NULL").select(F.col("a").alias("rep"), "entry")
-    if len(hot):
-        big = big.unionByName(reps.select("rep", "print").mapInArrow(hot_keys, "rep long, entry long"))
+    big = again.where("b IS NULL").select(F.col("a").alias("rep"), "entry")
     sizes = big.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     big = big.join(sizes, "entry").withColumn("mine", F.pmod(F.xxhash64("rep", "entry"), F.col("blocks")).cast("int"))
     sides = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -321,14 +363,25 @@ def _pairs_of(marked: DataFrame, texts: DataFrame, similarity: float, words: int
     return alike, member
 
 
+#: Rows of a class that meet as many others in one task.
+PART = 10_000
+
+
 def pairs_of_rows(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Every pair of rows (key_a < key_b) whose texts are alike, copies included: the full expansion, for
     reports that ask for it. Rows with the same set are pairs of similarity 1."""
     pairs = materialize(pairs, "pairs")
-    members = materialize(members.where("shingles > 0"), "members")
-    # Only classes of several rows or with a partner need their members.
-    a = members.select(F.col("rep").alias("rep_a"), F.col("key").alias("x"))
-    b = members.select(F.col("rep").alias("rep_b"), F.col("key").alias("y"))
-    across = pairs.join(a, "rep_a").join(b, "rep_b").select("x", "y")
-    within = a.join(b, (F.col("rep_a") == F.col("rep_b")) & (F.col("x") < F.col("y"))).select("x", "y")
+    members = members.where("shingles > 0").select("rep", "key")
+    # A class of many rows is cut into parts, so its rows don't meet in one task.
+    parts = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    members = materialize(members.join(parts, "rep").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")), "members")
+    a = members.select(F.col("rep").alias("rep_a"), F.col("key").alias("x"), F.col("part").alias("px"))
+    b = members.select(F.col("rep").alias("rep_b"), F.col("key").alias("y"), F.col("part").alias("py"))
+    parts = members.select("rep", "parts").distinct()
+    cells = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    of = pairs.join(parts.select(F.col("rep").alias("rep_a"), F.col("parts").alias("na")), "rep_a").join(parts.select(F.col("rep").alias("rep_b"), F.col("parts").alias("nb")), "rep_b")
+    of = of.select("rep_a", "rep_b", "nb", cells("na").alias("px")).select("rep_a", "rep_b", "px", cells("nb").alias("py"))
+    across = of.join(a, ["rep_a", "px"]).join(b, ["rep_b", "py"]).select("x", "y")
+    own = parts.select("rep", "parts", cells("parts").alias("px")).select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), "px", cells("parts").alias("py"))
+    within = own.join(a, ["rep_a", "px"]).join(b, ["rep_b", "py"]).where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))

@@ -77,7 +77,7 @@ def _lookup(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarra
     return {s: tuple(np.array(c, np.int64) for c in zip(*r)) for s, r in rows.items()}
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int = 2048, salts: int = 256) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int = 2048, part: int = 200_000) -> DataFrame:
     """Places every item; columns key, piece INT, start LONG, size INT, container LONG, offset INT.
 
     An item longer than the capacity is divided into pieces of `capacity` and a rest (`start` is the place
@@ -92,15 +92,17 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 2048, salts: int
     numbers = F.when(F.col("__n") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / cap))).otherwise(F.array(F.lit(0).cast("long")))
     parts = given.select("__k", "__n", F.explode(numbers).alias("__piece"))
     parts = parts.select("__k", "__piece", F.when(F.col("__n").isNotNull(), F.least(cap.cast("long"), F.col("__n") - F.col("__piece") * cap)).cast("int").alias("__size"))
-    salt = F.when(F.col("__size") > 0, F.pmod(F.xxhash64("__k", "__piece"), F.lit(salts)).cast("int")).otherwise(-1)
-    parts = materialize(parts.withColumn("__salt", salt), "sizes")
-    placed, none = parts.where("__salt >= 0"), parts.where("__salt < 0")
+    parts = materialize(parts, "sizes")
+    placed, none = parts.where("__size > 0"), parts.where("__size IS NULL OR __size <= 0")
 
+    counts = {int(r[0]): int(r[1]) for r in placed.groupBy("__size").agg(F.count(F.lit(1))).collect()}  # at most `capacity` rows
+    # A size is numbered in parts of about `part` items, so the commonest one is not one task.
+    salts = items.sparkSession.createDataFrame([(s, -(-n // part)) for s, n in counts.items()], "__size int, __salts int")
+    placed = placed.join(F.broadcast(salts), "__size").withColumn("__salt", F.pmod(F.xxhash64("__k", "__piece"), F.col("__salts")).cast("int")).drop("__salts")
     cells = placed.groupBy("__size", "__salt").agg(F.count(F.lit(1)).alias("__c"))
-    counts = {int(r[0]): int(r[1]) for r in cells.groupBy("__size").agg(F.sum("__c")).collect()}  # at most `capacity` rows
     lookup = items.sparkSession.sparkContext.broadcast(_lookup(minimum_slack(counts, capacity)))  # so many ranges as sizes, times a small factor
 
-    before = F.sum("__c").over(Window.partitionBy("__size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))  # at most `salts` rows
+    before = F.sum("__c").over(Window.partitionBy("__size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))  # as many rows as parts
     offsets = cells.select("__size", "__salt", F.coalesce(before, F.lit(0)).alias("__before"))
     number = F.row_number().over(Window.partitionBy("__size", "__salt").orderBy("__k", "__piece")) - 1
     numbered = placed.withColumn("__no", number).join(offsets, ["__size", "__salt"]).select("__k", "__piece", "__size", (F.col("__no") + F.col("__before")).alias("__no"))

@@ -141,7 +141,7 @@ def sketch(df: DataFrame, keys: list[str], value: str, k: int = 32, most_open: i
     return df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")).mapInPandas(run, schema)
 
 
-def merge_sketches(sketches: DataFrame, keys: list[str], salts: int = 1) -> DataFrame:
+def merge_sketches(sketches: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
     """One sketch for each key. A task merges the sketches of a key one after the other, so its memory holds
     one sketch, whatever their number; with `salts` > 1 a key's sketches first merge in so many parts."""
     schema = T.StructType([sketches.schema[c] for c in keys] + [T.StructField("sketch", T.BinaryType())])
@@ -164,7 +164,7 @@ def merge_sketches(sketches: DataFrame, keys: list[str], salts: int = 1) -> Data
 
     if salts > 1:
         salted = sketches.select(*keys, "sketch", F.pmod(F.xxhash64("sketch"), F.lit(salts)).alias("__salt"))
-        sketches = merge_sketches(salted, [*keys, "__salt"])
+        sketches = merge_sketches(salted, [*keys, "__salt"], 1)
     sort = [*keys, F.xxhash64("sketch")]  # a fixed order, so that a task that runs again gives the same
     return sketches.select(*keys, "sketch").repartition(*keys).sortWithinPartitions(*sort).mapInPandas(run, schema)
 

@@ -38,6 +38,16 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"))
 
 
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for the pieces of each chunk: none is too large, they cover its lines and join to its text."""
+    pieces = splitting.split_oversized(table(spark, folder, "chunks"))
+    own = F.decode(F.substring(F.encode("text", "UTF-8"), F.col("shared") + 1, F.octet_length("text")), "UTF-8")
+    g = pieces.withColumn("own", own).groupBy("chunk_id").agg(
+        F.count_if(F.octet_length("text") > 4000).alias("too_large"), F.min("start_line").alias("first_line"), F.sort_array(F.collect_list(F.struct("piece", "own"))).alias("l")
+    )  # the pieces of one text
+    return g.select("chunk_id", "too_large", "first_line", F.md5(F.array_join("l.own", "")).alias("joined"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), ["doc_id"])
 
@@ -47,7 +57,16 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", 2048)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p6_found, p6_percentiles, p7_found, p7_pieces, p8_ids, p9_containers)}
+def p9_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for the containers: every document is placed whole, in pieces only if it is longer than one."""
+    placed = p9_containers(spark, folder)
+    full = placed.where("container IS NOT NULL").groupBy("container").agg(F.sum("size").alias("filled"))
+    docs = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("size"), F.max("piece").alias("last"))
+    torn = F.count_if((F.col("pieces") != F.col("last") + 1) | (F.coalesce("size", F.lit(0)) <= 2048) & (F.col("pieces") > 1))
+    return docs.agg(F.count(F.lit(1)).alias("documents"), torn.alias("torn")).crossJoin(F.broadcast(full.agg(F.count_if(F.col("filled") > 2048).alias("too_full"))))  # two single rows
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p6_found, p6_percentiles, p7_found, p7_pieces, p7_check, p8_ids, p9_containers, p9_check)}
 
 _CANDIDATES = """
 WITH u AS (
@@ -89,5 +108,7 @@ SELECT DISTINCT s.runId AS run_id, s.client.name AS client_name, s.condition.req
 FROM summary s JOIN p ON s.runId = p.runId AND lower(trim(s.client.name)) = p.client_name AND s.condition.requested IS NOT DISTINCT FROM p.requested
 WHERE coalesce(abs(s.latencyNs.p95 - p.p95) > 0.05 * p.p95, true)
 """,
+    "p7_check": "SELECT chunk_id, 0::BIGINT AS too_large, start_line AS first_line, md5(text) AS joined FROM chunks WHERE strlen(text) > 4000",
+    "p9_check": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS torn, 0::BIGINT AS too_full FROM documents",
     "p7_found": "SELECT chunk_id FROM chunks WHERE strlen(text) > 4000",
 }

@@ -118,6 +118,34 @@ def test_pairs_against_all_pairs(spark, crowd):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_common_header_in_all_texts(spark, monkeypatch):
+    """A third of each text is the same licence: crowded entries are entered again, and no pair is lost. Copies of
+    a text are cut into parts."""
+    monkeypatch.setattr(nearcopies, "PART", 7)
+    rng = random.Random(5)
+    licence = [f"term{i}" for i in range(25)]
+    rows, copies = [], 0
+    for i in range(240):
+        words = [f"w{rng.randrange(5000)}" for _ in range(50)]
+        rows.append((i, " ".join(licence + words)))
+        if i % 6 == 0:
+            words[rng.randrange(50)] = "edited"
+            rows.append((1000 + i, " ".join(licence + words)))
+    rows += [(5000 + i, rows[0][1]) for i in range(20)]
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    pairs, members = nearcopies.similar_classes(spark.createDataFrame(rows, "id long, text string"), "id", "text", 0.6, 3, crowd=8)
+    got = [tuple(r) for r in nearcopies.pairs_of_rows(pairs, members, "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_short_texts_form_classes(spark):
+    rows = [(1, "Two words"), (2, "two, words"), (3, "words two"), (4, ""), (5, " ... "), (6, None)]
+    _, members = nearcopies.similar_classes(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    got = {r["key"]: r["rep"] for r in members.collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
 def test_streams_of_runs():
     import pyarrow as pa
 

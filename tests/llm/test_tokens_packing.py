@@ -74,7 +74,7 @@ def test_plan_places_everything():
 def test_containers(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([None, 0, 7, 7, 7, 50, 99, 100, 101, 250, rng.randrange(1, 100)]), "c") for i in range(300)] + [(5, 7, "c")]
-    got = pack(spark.createDataFrame(rows, "doc_id long, n int, container string"), "doc_id", "n", 100, salts=4).collect()
+    got = pack(spark.createDataFrame(rows, "doc_id long, n int, container string"), "doc_id", "n", 100, part=3).collect()
     use, end = {}, {}
     for r in got:
         if r["container"] is not None:
