@@ -9,7 +9,7 @@ from ferrule.functions import questions as Q
 from ferrule.functions import text as X
 from ferrule.functions.stem import stems
 from ferrule.operators import chunking, evaluation, index, ranking, requests
-from ferrule.session import spread
+from ferrule.session import materialize, spread
 from ferrule.sources.tables import table
 
 
@@ -68,7 +68,8 @@ def declared_symbols(spark, folder):
 
 def reference_weights(spark, folder):
     c = _chunks(spark, folder)
-    return index.reference_weights(index.symbols(c), index.identifiers(c)).select("path", "name", F.round("weight", 9).alias("weight"))
+    names = materialize(index.symbols(c), "symbols")
+    return index.reference_weights(names, index.identifiers(c, names)).select("path", "name", F.round("weight", 9).alias("weight"))
 
 
 def question_terms(spark, folder):
@@ -204,14 +205,13 @@ _PATH = f"ptoks AS (SELECT chunk_id AS key, {_TOK.format('path')} AS t FROM chun
 _GIVEN = """g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_id) AS rn FROM
   (SELECT qid, chunk_id, path, start_line, end_line, max(lexical_score) AS s FROM shortlist GROUP BY ALL))"""
 _GOLD = "gold AS (SELECT DISTINCT qid, path, start_line, end_line FROM candidate_scores WHERE score > 0.5)"
-_FORMS = index.SYMBOL_FORMS
-_PLAIN = "list_concat(" + "list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in _FORMS[:2]) + f"), regexp_extract_all(text, '{_FORMS[2]}', 1))"
-_TYPED = f"list_concat(list_filter(regexp_extract_all(text, '{index.TYPED_FORM}', 1), lambda n: n NOT IN ('if', 'for', 'while', 'switch', 'catch', 'return', 'else', 'new', 'function')), regexp_extract_all(text, '{_FORMS[2]}', 1))"
+_NAMES_BY = lambda p, n: f"list_transform(regexp_extract_all(text, '{p}', 0), lambda m: regexp_replace(m, '{p}', '{chr(92).join(['', *map(str, range(1, n + 1))])}'))"
+_PLAIN, _TYPED = _NAMES_BY(index.SYMBOL, 6), _NAMES_BY(index.TYPED_SYMBOL, 1)
 _SYM = f"sym AS (SELECT chunk_id, path, unnest(CASE WHEN regexp_matches(path, '{X.TYPED_PATH}') THEN {_TYPED} ELSE {_PLAIN} END) AS name FROM chunks WHERE regexp_matches(path, '{X.CODE_PATH}'))"
 _WEIGHT = f"""ident AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM chunks WHERE regexp_matches(path, '{X.CODE_PATH}')),
  wt AS (SELECT n.path, n.name, 1 + least(ln(1 + coalesce(f.files, 0) - CASE WHEN o.name IS NULL THEN 0 ELSE 1 END), 2) AS weight
   FROM (SELECT DISTINCT path, name FROM sym) n LEFT JOIN (SELECT name, count(*) AS files FROM ident GROUP BY name) f ON f.name = n.name LEFT JOIN ident o ON o.path = n.path AND o.name = n.name)"""
-_ISTEST = f"(regexp_matches(path, '{X.TEST_PATH}') OR regexp_matches(path, '{X.TEST_CLASS_PATH}'))"
+_ISTEST = f"regexp_matches(path, '{X.TEST_PATH}')"
 _EXT = "lower(split_part(path, '.', -1))"
 _in = lambda ws: ", ".join(f"'{w}'" for w in ws)
 _Q = lambda p: p.replace("'", "''")

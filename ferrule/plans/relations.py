@@ -179,7 +179,7 @@ ORACLE = {
     "nearest_config": f"""WITH p AS (SELECT DISTINCT path FROM chunks), f AS (SELECT path FROM p WHERE regexp_matches(path, '{X.CODE_PATH}')), c AS (SELECT path AS config, regexp_replace(path, '/?[^/]*$', '') AS dir FROM p WHERE regexp_matches(path, '\\.(toml|yml|json)$')),
       j AS (SELECT f.path, c.config, row_number() OVER (PARTITION BY f.path ORDER BY length(c.dir) - length(replace(c.dir, '/', '')) + CASE WHEN c.dir = '' THEN 0 ELSE 1 END DESC NULLS LAST, c.config) AS rn FROM f LEFT JOIN c ON c.dir = '' OR starts_with(f.path, c.dir || '/'))
       SELECT path, config FROM j WHERE rn = 1""",
-    "definers": f"WITH d AS (SELECT DISTINCT path, unnest({L._PLAIN}) AS name FROM chunks), e AS (SELECT * FROM d WHERE length(name) >= 4) SELECT path, name FROM e WHERE name IN (SELECT name FROM e GROUP BY name HAVING count(*) <= 5)",
+    "definers": f"WITH d AS (SELECT DISTINCT path, unnest({L._NAMES_BY(links.LINKED, 2)}) AS name FROM chunks), e AS (SELECT * FROM d WHERE length(name) >= 4) SELECT path, name FROM e WHERE name IN (SELECT name FROM e GROUP BY name HAVING count(*) <= 5)",
     "manifest_changes": """WITH o AS (SELECT path || ':' || start_line AS path, sha256(text) AS digest, chunk_id FROM chunks), n AS (SELECT path, CASE WHEN chunk_id % 10 = 0 THEN 'changed' ELSE digest END AS digest FROM o WHERE chunk_id % 11 <> 0)
       SELECT * FROM (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.digest <> n.digest THEN 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path) WHERE change IS NOT NULL""",
     "coverage_by_extension": f"SELECT {L._EXT} AS extension, count(DISTINCT path) AS files, count(*) AS chunks FROM chunks GROUP BY 1",
@@ -189,7 +189,7 @@ ORACLE = {
       SELECT path, CAST(line AS INTEGER) AS line, count(DISTINCT t) AS texts FROM r GROUP BY ALL HAVING count(DISTINCT t) > 1""",
     "names_by_case": f"WITH {L._SYM} SELECT lower(name) AS lower, count(DISTINCT name) AS spellings, count(*) AS n FROM sym GROUP BY 1 HAVING count(DISTINCT name) > 1",
     "connected_files": f"""WITH {L._GIVEN}, sd AS (SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY min(rn)) AS seed FROM g GROUP BY qid, path QUALIFY seed <= 5),
-      d0 AS (SELECT DISTINCT path, unnest({L._PLAIN}) AS name FROM chunks), d1 AS (SELECT * FROM d0 WHERE length(name) >= 4), d AS (SELECT path, name FROM d1 WHERE name IN (SELECT name FROM d1 GROUP BY name HAVING count(*) <= 5)),
+      d0 AS (SELECT DISTINCT path, unnest({L._NAMES_BY(links.LINKED, 2)}) AS name FROM chunks), d1 AS (SELECT * FROM d0 WHERE length(name) >= 4), d AS (SELECT path, name FROM d1 WHERE name IN (SELECT name FROM d1 GROUP BY name HAVING count(*) <= 5)),
       m AS (SELECT DISTINCT path, name FROM (SELECT path, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM chunks) WHERE length(name) >= 4 AND NOT regexp_matches(name, '^[0-9]') AND name IN (SELECT name FROM d)),
       rare AS (SELECT name, ln(1 + (SELECT count(DISTINCT path) FROM chunks) / count(*)) * CASE WHEN starts_with(name, '_') THEN 0.3 ELSE 1 END AS r FROM m GROUP BY name),
       sh AS (SELECT sd.qid, sd.seed, d.name, m.path AS file FROM sd JOIN d ON d.path = sd.path JOIN m ON m.name = d.name UNION SELECT sd.qid, sd.seed, m.name, d.path FROM sd JOIN m ON m.path = sd.path JOIN d ON d.name = m.name),

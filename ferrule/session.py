@@ -26,20 +26,31 @@ def get_session(app: str = "ferrule", cpus: int | str = "*", **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. `spark.checkpoint.dir` names it; only where that is unset
-    (tests, one machine) a temporary folder is made and recorded in the session."""
+    """The folder all executors share, named by `spark.checkpoint.dir`. Only on one machine may that be unset
+    (tests): a temporary folder is made then and recorded in the session. On a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("ferrule.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ferrule-")
         spark.conf.set("ferrule.shared.dir", found)
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This session's own folder below the shared one."""
+    mark = spark.conf.get("ferrule.session", None)
+    if not mark:
+        mark = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+        spark.conf.set("ferrule.session", mark)
+    return f"{shared_dir(spark)}/ferrule/{mark}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage, keeps Python stages from
     running twice, and survives the loss of executors (the files do not live on them)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ferrule/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,7 +70,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables that `materialize` wrote; call it when no result built on them is needed any more."""
+    """Delete the tables that `materialize` wrote for this session; call it when no result built on them is needed
+    any more. Tables of other sessions stay."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ferrule")
+    path = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

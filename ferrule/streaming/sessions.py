@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,22 +50,24 @@ def remembered(answers: DataFrame, late: str = "10 minutes") -> DataFrame:
     )
 
 
-def refresh_into(folder: str, derive: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch on a stream of file versions (path, text, digest): derives the batch's last version
-    of each path and writes it as its own part, so that `latest` sees one version a path. A batch that runs
-    again writes the same part again."""
+def refresh_into(folder: str, derive: Callable[[DataFrame], DataFrame], order: str = "modified") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch on a stream of file versions (path, text, digest and `order`, a time or a sequence number):
+    derives the last version of each path, by `order`, and writes it as the batch's part, with a line for each path
+    that came, so that `latest` sees the last version of a path, even one that derives no rows. A null text is a
+    deleted file. A batch that runs again writes the same part again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("path").agg(F.max_by(F.struct("text", "digest"), F.col("digest")).alias("v")).select("path", "v.*")
-        derive(last).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/part-{number:08d}")
+        last = batch.groupBy("path").agg(F.max_by(F.struct("text", "digest"), F.struct(F.col(order), F.col("digest"))).alias("v")).select("path", "v.*")
+        last.select("path", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{folder}/versions/part-{number:08d}")
+        derive(last.where("text IS NOT NULL")).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/part-{number:08d}")
 
     return write
 
 
-def latest(table: DataFrame) -> DataFrame:
-    """Of a table written by `refresh_into` the rows of each path's last batch."""
-    top = table.groupBy("path").agg(F.max("batch").alias("batch"))
-    return table.join(top, ["path", "batch"], "left_semi")
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """Of what `refresh_into` wrote the rows of each path's last version."""
+    top = spark.read.parquet(f"{folder}/versions/*").groupBy("path").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{folder}/rows/*").join(top, ["path", "batch"], "left_semi")
 
 
 def token_windows(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
