@@ -118,11 +118,6 @@ def short_count(n: str | Column) -> Column:
     return F.when(n >= 1e6, F.concat(F.format_string("%.1f", n / 1e6), F.lit("M"))).when(n >= 1e3, F.concat(F.format_string("%.0f", n / 1e3), F.lit("k"))).otherwise(F.format_string("%.0f", n))
 
 
-def called_names(line: str | Column) -> Column:
-    """The names that a line calls: a word before an opening bracket, a bang, blanks and type arguments aside."""
-    return F.regexp_extract_all(_c(line), F.lit(r"([\p{L}\p{N}_]+)[! ]*(?:::<[^>]*>?)?\("), 1)
-
-
-def usage_kind(path: str | Column, line: str | Column, name: str | Column, called: str | Column) -> Column:
-    """mention, import, call or reference: how a line, with its called names, uses a name."""
-    return F.when(is_comment(path, line), "mention").when(_c(line).rlike(IMPORT_LINE), "import").when(F.array_contains(_c(called), _c(name)), "call").otherwise("reference")
+def usage_kind(path: str | Column, line: str | Column, called: str | Column) -> Column:
+    """mention, import, call or reference: how a line uses a name that it calls or not."""
+    return F.when(is_comment(path, line), "mention").when(_c(line).rlike(IMPORT_LINE), "import").when(_c(called), "call").otherwise("reference")

@@ -32,6 +32,20 @@ def chunk_lines(chunks: DataFrame, keys: list[str] = ["path"], text: str = "text
     return c.select(*keys, "start_line", F.posexplode("__p").alias("__i", "line_text")).select(*keys, (F.col("start_line") + F.col("__i")).alias("line"), "line_text")
 
 
+def file_lines(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """path, line INT, line_text: every line of a file once, from consistent chunks (see `chunk_lines`). Of a line
+    that several chunks give, the one that begins first counts. Only ranges are compared, no line is shuffled."""
+    parts = F.split(F.regexp_replace(F.col(text), "\r\n", "\n"), "\n", -1)
+    n = F.col("end_line") - F.col("start_line") + 1
+    c = chunks.select("path", "start_line", "end_line", F.col(text).alias("__t"), parts.alias("__p"))
+    c = c.withColumn("__p", F.when((F.element_at("__p", -1) == "") & (F.size("__p") > n), F.slice("__p", 1, F.size("__p") - 1)).otherwise(F.col("__p")))
+    c = c.where((F.size("__p") == n) & F.col("path").isNotNull())
+    w = Window.partitionBy("path").orderBy("start_line", F.desc("end_line"), "__t").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("__seen", F.greatest(F.lit(0), F.coalesce(F.max("end_line").over(w) - F.col("start_line") + 1, F.lit(0))).cast("int"))
+    c = c.where(F.col("__seen") < F.size("__p")).select("path", (F.col("start_line") + F.col("__seen")).alias("__s"), F.slice("__p", F.col("__seen") + 1, F.size("__p")).alias("__p"))
+    return c.select("path", "__s", F.posexplode("__p").alias("__i", "line_text")).select("path", (F.col("__s") + F.col("__i")).alias("line"), "line_text")
+
+
 def joined_runs(chunks: DataFrame) -> DataFrame:
     """path, start_line, text: chunks of a file that adjoin or overlap joined, so a file without gaps is one row.
 

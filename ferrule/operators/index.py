@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.functions import text as X
+from ferrule.functions.stem import porter
 from ferrule.session import small_side, spread
 
 # How declarations look. One group of a match holds the declared name.
@@ -66,6 +67,67 @@ def postings(docs: DataFrame, key: str, text: str, keep: list[str] = []) -> Data
     return _each(docs, ["key", *keep], "__x", _count, fields)
 
 
+STEMS: dict[str, str] = {}
+
+
+def _stems(words: list[str]) -> list[str]:
+    """The stems of words; a task remembers those it has seen."""
+    new = set(words).difference(STEMS)
+    if new:
+        if len(STEMS) > 500_000:  # emptied when full
+            STEMS.clear()
+            new = set(words)
+        STEMS.update((w, porter(w)) for w in new)
+    return [STEMS[w] for w in words]
+
+
+FIELDS = ("content", "path", "symbol")
+
+
+def build(chunks: DataFrame, scope: str | None = None, stemmed: bool = False, with_symbols: bool = True) -> DataFrame:
+    """All postings of chunks in one pass over their texts: field (see FIELDS), chunk_id, place, name, the scope
+    column, term, tf, len, and a row of the empty term for each document.
+
+    The path is a document for each of its chunks; each declared name is one of its own, with its place in the
+    chunk, the others have place -1 and no name. Written once, an index serves any number of questions.
+    """
+    keep = [scope] * bool(scope)
+    schema = T.StructType(
+        [T.StructField("field", T.StringType()), chunks.schema["chunk_id"], *[chunks.schema[c] for c in keep], T.StructField("place", T.IntegerType()), T.StructField("name", T.StringType())]
+        + [T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("len", T.IntegerType())]
+    )
+    code, typed = X.is_code_path("path"), F.col("path").rlike(X.TYPED_PATH)
+    slim = chunks.select("chunk_id", *keep, "path", "text", F.when(typed & code, 2).when(code, 1).otherwise(0).alias("__kind"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = {1: _names_by(SYMBOL), 2: _names_by(TYPED_SYMBOL)}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows, field, place, name, term, tf, size = [], [], [], [], [], [], []
+
+                def add(i: int, f: str, p: int, n: str | None, text: str | None) -> None:
+                    found = tokens_of(text) if text is not None else []
+                    counts = Counter(_stems(found) if stemmed else found)
+                    k = len(counts) + 1
+                    for column, value in ((rows, i), (field, f), (place, p), (name, n), (size, len(found))):
+                        column.extend([value] * k)
+                    term.extend(["", *counts])
+                    tf.extend([0, *counts.values()])
+
+                texts, paths, kinds = (part.column(c).to_pylist() for c in ("text", "path", "__kind"))
+                for i, (text, path, kind) in enumerate(zip(texts, paths, kinds)):
+                    add(i, "content", -1, None, text)
+                    add(i, "path", -1, None, path)
+                    if with_symbols and kind:
+                        for p, n in enumerate(named[kind](text)[0]):
+                            add(i, "symbol", p, n, n)
+                taken = [part.column(c).take(pa.array(rows, pa.int64())) for c in ("chunk_id", *keep)]
+                yield pa.RecordBatch.from_arrays([pa.array(field, pa.string()), *taken, pa.array(place, pa.int32()), pa.array(name, pa.string()), pa.array(term, pa.string()), pa.array(tf, pa.int32()), pa.array(size, pa.int32())], names=schema.names)
+
+    return spread(slim).mapInArrow(run, schema)
+
+
 def term_frequencies(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
     """key, term, tf, len (tokens of the document). With `terms` (term) only those terms are kept, while `len`
     still counts all tokens."""

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
-from ferrule.session import materialize, small_side
+from ferrule.session import materialize
 
 # Names that frameworks call.
-ENTRY_POINTS = (
-    "main init new String Error ServeHTTP MarshalJSON UnmarshalJSON MarshalText UnmarshalText Close Read Write Len Less Swap Reset setUp tearDown setup teardown "
-    "__init__ __str__ __repr__ __eq__ __hash__ __enter__ __exit__ __call__ __iter__ __next__ __len__ __getitem__ __setitem__ initialize to_s inspect call perform fmt "
-    "drop default from into clone eq hash deref index run handle toString equals hashCode compareTo invoke apply accept get set"
-).split()
+ENTRY_POINTS = [
+    "main", "init", "new", "String", "Error", "ServeHTTP", "MarshalJSON", "UnmarshalJSON", "MarshalText", "UnmarshalText",
+    "Close", "Read", "Write", "Len", "Less", "Swap", "Reset", "setUp", "tearDown", "setup",
+    "teardown", "__init__", "__str__", "__repr__", "__eq__", "__hash__", "__enter__", "__exit__", "__call__", "__iter__",
+    "__next__", "__len__", "__getitem__", "__setitem__", "initialize", "to_s", "inspect", "call", "perform", "fmt",
+    "drop", "default", "from", "into", "clone", "eq", "hash", "deref", "index", "run",
+    "handle", "toString", "equals", "hashCode", "compareTo", "invoke", "apply", "accept", "get", "set",
+]
+
+#: Up to so many names are sent to the tasks as a set; more are joined.
+SENT = 200_000
+_WORD, _CALLED = re.compile(r"\w+"), re.compile(r"(\w+)[! ]*(?:::<[^>]*>?)?\(")
 
 
 def word_uses(lines: DataFrame, names: DataFrame) -> DataFrame:
@@ -21,11 +32,28 @@ def word_uses(lines: DataFrame, names: DataFrame) -> DataFrame:
 
     lines: path, line, line_text; names: name. Words are runs of letters, digits and underscores.
     """
-    words = F.array_distinct(F.regexp_extract_all("line_text", F.lit(r"[\p{L}\p{N}_]+"), 0))
-    # The patterns of a line run once, before its words are spread out.
-    seen = lines.select("path", "line", "line_text", X.called_names("line_text").alias("called"), words.alias("words"))
-    hit = seen.select("path", "line", "line_text", "called", F.explode("words").alias("name")).join(small_side(names.select("name").distinct()), "name")
-    return hit.select("path", "line", "line_text", "name", X.usage_kind("path", "line_text", "name", "called").alias("kind"))
+    wanted = materialize(names.select("name").where("name IS NOT NULL").distinct(), "names")
+    sent = [r[0] for r in wanted.limit(SENT + 1).collect()]
+    known = frozenset(sent) if len(sent) <= SENT else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, name, called = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                found = set(_WORD.findall(text or ""))
+                found = found if known is None else found & known
+                if found:
+                    calls = set(_CALLED.findall(text)) if "(" in text else ()
+                    rows += [i] * len(found)
+                    name += found
+                    called += [n in calls for n in found]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in range(3)], pa.array(name, pa.string()), pa.array(called, pa.bool_())], names=["path", "line", "line_text", "name", "called"])
+
+    hit = lines.select("path", "line", "line_text").mapInArrow(run, "path string, line int, line_text string, name string, called boolean")
+    if known is None:
+        hit = hit.join(wanted, "name", "left_semi")
+    return hit.select("path", "line", "line_text", "name", X.usage_kind("path", "line_text", "called").alias("kind"))
 
 
 def usage_counts(uses: DataFrame) -> DataFrame:

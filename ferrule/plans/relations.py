@@ -15,7 +15,7 @@ _chunks = L._chunks
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunk_lines(_chunks(spark, folder)).groupBy("path", "line").agg(F.min("line_text").alias("line_text"))
+    return chunking.file_lines(_chunks(spark, folder))
 
 
 def _names(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,13 +23,8 @@ def _names(spark: SparkSession, folder: str) -> DataFrame:
     return index.symbols(_chunks(spark, folder)).select("name").distinct()
 
 
-def _all_uses(spark, folder):
-    return usages.word_uses(_lines(spark, folder), _names(spark, folder))
-
-
 def _uses(spark, folder):
-    """Uses of declared names of six letters or more, as the SQL of the queries on them has it."""
-    return usages.word_uses(_lines(spark, folder), _names(spark, folder).where(F.length("name") >= 6))
+    return usages.word_uses(_lines(spark, folder), _names(spark, folder))
 
 
 def word_usages(spark, folder):
@@ -54,7 +49,7 @@ def usage_listing(spark, folder):
 
 def tests_for(spark, folder):
     c = _chunks(spark, folder)
-    return usages.tests_for(_all_uses(spark, folder), index.symbols(c), c)
+    return usages.tests_for(_uses(spark, folder), index.symbols(c), c)
 
 
 def _definitions(spark, folder):
@@ -77,7 +72,7 @@ def import_rows(spark, folder):
 
 def enclosing_definition(spark, folder):
     """Lines that mention a declared name, with the definition around them."""
-    return ranges.enclosing(_all_uses(spark, folder).select("path", "line").distinct(), _definitions(spark, folder))
+    return ranges.enclosing(_uses(spark, folder).select("path", "line").distinct(), _definitions(spark, folder))
 
 
 def enclosing_chunk(spark, folder):
@@ -149,9 +144,9 @@ QUERIES = {
 
 _LINES = r"""lines AS (WITH p AS (SELECT path, start_line, end_line, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM chunks),
  q AS (SELECT path, start_line, end_line, CASE WHEN l[-1] = '' AND len(l) > end_line - start_line + 1 THEN l[:len(l) - 1] ELSE l END AS l FROM p),
- r AS (SELECT path, unnest(range(start_line, end_line + 1)) AS line, unnest(l) AS t FROM q WHERE len(l) = end_line - start_line + 1)
- SELECT path, CAST(line AS INTEGER) AS line, min(t) AS line_text FROM r GROUP BY ALL)"""
-_USES = f"{L._SYM}, nm AS (SELECT DISTINCT name FROM sym WHERE length(name) >= 6), {_LINES}, w AS (SELECT DISTINCT path, line, line_text, unnest(regexp_extract_all(line_text, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM lines), u0 AS (SELECT w.* FROM w JOIN nm USING (name))"
+ r AS (SELECT path, start_line AS s, unnest(range(start_line, end_line + 1)) AS line, unnest(l) AS t FROM q WHERE len(l) = end_line - start_line + 1)
+ SELECT path, CAST(line AS INTEGER) AS line, arg_min(t, s) AS line_text FROM r GROUP BY ALL)"""
+_USES = f"{L._SYM}, nm AS (SELECT DISTINCT name FROM sym), {_LINES}, w AS (SELECT DISTINCT path, line, line_text, unnest(regexp_extract_all(line_text, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM lines), u0 AS (SELECT w.* FROM w JOIN nm USING (name))"
 _C = "(starts_with(x, '//') OR starts_with(x, '/*') OR x = '*' OR starts_with(x, '* ') OR starts_with(x, '*/'))"
 _KIND = (
     f"u AS (SELECT *, CASE WHEN CASE WHEN ext IN ({L._in(X.HASH_COMMENTS)}) THEN starts_with(x, '#') WHEN ext IN ({L._in(X.DASH_COMMENTS)}) THEN starts_with(x, '--') WHEN ext IN ({L._in(X.MARKUP_COMMENTS)}) THEN starts_with(x, '<!--') ELSE {_C} END THEN 'mention'"
