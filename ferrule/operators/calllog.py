@@ -50,16 +50,17 @@ def repeats(events: DataFrame, key: str, order: str, text: str) -> DataFrame:
     return events.withColumn("__p", F.lag(text).over(Window.partitionBy(key).orderBy(order))).where(F.col("__p") == F.col(text)).drop("__p")
 
 
-def overlapping_calls(calls: DataFrame, bucket_seconds: int = 60) -> DataFrame:
-    """entry_id, others: calls of one workspace that ran at the same time, by start and duration.
+def overlapping_calls(calls: DataFrame, group: str = "workspace", within: int = 0, bucket_seconds: int = 60) -> DataFrame:
+    """entry_id, others: calls of one workspace (or other group) that ran at the same time, by start and duration, or
+    `within` so many seconds.
 
     A call is entered under every minute it touches, so only neighbours in time meet."""
     end = F.unix_micros(F.col("received_at").cast("timestamp"))
-    c = calls.where("received_at IS NOT NULL AND ms IS NOT NULL AND workspace IS NOT NULL").select("entry_id", "workspace", (end - F.col("ms") * 1000).alias("s"), end.alias("e")).groupBy("entry_id", "workspace").agg(F.min("s").alias("s"), F.min("e").alias("e"))
+    c = calls.where("received_at IS NOT NULL AND ms IS NOT NULL").where(F.col(group).isNotNull()).select("entry_id", F.col(group).alias("g"), (end - F.col("ms") * 1000).alias("s"), end.alias("e")).groupBy("entry_id", "g").agg(F.min("s").alias("s"), (F.min("e") + within * 1_000_000).alias("e"))
     width = bucket_seconds * 1_000_000
     b = c.withColumn("b", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
-    o = b.select("workspace", "b", F.col("entry_id").alias("other"), F.col("s").alias("os"), F.col("e").alias("oe"))
-    hit = b.join(o, ["workspace", "b"]).where((F.col("entry_id") != F.col("other")) & (F.col("s") < F.col("oe")) & (F.col("os") < F.col("e")))
+    o = b.select("g", "b", F.col("entry_id").alias("other"), F.col("s").alias("os"), F.col("e").alias("oe"))
+    hit = b.join(o, ["g", "b"]).where((F.col("entry_id") != F.col("other")) & (F.col("s") < F.col("oe")) & (F.col("os") < F.col("e")))
     return hit.groupBy("entry_id").agg(F.count_distinct("other").alias("others"))
 
 

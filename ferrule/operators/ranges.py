@@ -18,10 +18,17 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     return points.join(j, ["path", "line"], "left").select(*points.columns, F.col("m.name").alias("name"), F.col("m.start_line").alias("start_line"), F.col("m.end_line").alias("end_line"))
 
 
-def overlapping(left: DataFrame, right: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of left (path, start_line, end_line, ...) that overlap (left_semi) or don't (left_anti) a row of right."""
-    r = right.select(F.col("path").alias("rp"), F.col("start_line").alias("rs"), F.col("end_line").alias("re"))
-    return left.join(r, (left["path"] == r["rp"]) & (left["start_line"] <= r["re"]) & (r["rs"] <= left["end_line"]), how)
+def overlapping(left: DataFrame, right: DataFrame, how: str = "left_semi", keys: list[str] = ["path"]) -> DataFrame:  # noqa: B006
+    """Rows of left (the keys, start_line, end_line, ...) that overlap (left_semi) or don't (left_anti) a row of right.
+
+    Ranges of right are merged first, then both sides meet in buckets of lines, so many ranges of one path are
+    no nested loop. Left rows are told apart by their keys and lines."""
+    r = merged(right.select(*keys, "start_line", "end_line").distinct(), keys)
+    buckets = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / BUCKET), F.floor(F.col(e) / BUCKET)))
+    r = r.select(*keys, F.col("start_line").alias("rs"), F.col("end_line").alias("re")).withColumn("b", buckets("rs", "re"))
+    at = left.select(*keys, "start_line", "end_line").where("start_line <= end_line").distinct().withColumn("b", buckets("start_line", "end_line"))
+    hit = at.join(r, [*keys, "b"]).where("start_line <= re AND rs <= end_line").select(*keys, "start_line", "end_line").distinct()
+    return left.join(hit, [*keys, "start_line", "end_line"], how)
 
 
 def merged(ranges: DataFrame, keys: list[str], gap: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
@@ -26,6 +26,13 @@ def cut_to_budget(items: DataFrame, group: str, order: str, text: str, envelope:
     return sized.withColumn("total", F.sum("bytes").over(w) + envelope).where(F.col("total") <= budget)
 
 
+def answer_budget(questions: Column) -> tuple[Column, Column]:
+    """results and bytes of an answer to so many questions: 3 and 16,000, for each further question 2 and 5,000
+    more, 12 and 36,000 at most."""
+    more = F.greatest(questions - 1, F.lit(0))
+    return F.least(F.lit(12), 3 + 2 * more).cast("long").alias("results"), F.least(F.lit(36_000), 16_000 + 5_000 * more).cast("long").alias("bytes")
+
+
 def judged_order(judged: DataFrame, group: str, score: str, index: str, threshold: float = 0.5, limit: int = 5) -> DataFrame:
     """Judged rows with place by (score descending, input index) and result: strictly above the threshold and
     among the first `limit`."""

@@ -15,7 +15,7 @@ _DEF = re.compile(
     r"(?P<k>fn|function\*?|def|fun|func|class|struct|enum|interface|trait|module|impl|type)\s+(?:\([^)\n]*\)\s*)?(?P<n>[A-Za-z_]\w*)"
 )
 _KIND = {"class": "class", "struct": "class", "interface": "class", "trait": "class", "enum": "class", "module": "module", "impl": "class", "type": "type"}
-SCHEMA = "path string, name string, qualified string, kind string, start_line int, end_line int, detection string"
+SCHEMA = "path string, name string, qualified string, kind string, start_line int, end_line int, detection string, exported boolean"
 
 
 def python_definitions(text: str) -> list[tuple[str, str, str, int, int]] | None:
@@ -66,8 +66,19 @@ def lexical_definitions(text: str) -> list[tuple[str, str, str, int, int]]:
     return out
 
 
+def exported(path: str, name: str, line: str) -> bool:
+    """Whether a definition can be used from outside its file, by its language's rule."""
+    ext = path.rsplit(".", 1)[-1]
+    if ext == "go":
+        return name[:1].isupper()
+    if ext in ("py", "pyi", "rb"):
+        return not name.startswith("_")
+    return re.match(r"\s*(?:pub\b|export\b|public\b|open\b)", line) is not None
+
+
 def definitions(files: DataFrame, path: str = "path", text: str = "text", start_line: str | None = None) -> DataFrame:
-    """path, name, qualified, kind, start_line, end_line, detection (parsed or lexical) of each definition.
+    """path, name, qualified, kind, start_line, end_line, detection (parsed or lexical), exported of each
+    definition.
 
     Null and empty texts have none; a file that does not parse is read by its lines. `start_line` shifts the
     lines of chunks.
@@ -79,8 +90,9 @@ def definitions(files: DataFrame, path: str = "path", text: str = "text", start_
             for p, t, s in zip(batch["p"], batch["t"], batch["s"]):
                 found = python_definitions(t) if p.endswith((".py", ".pyi")) else None
                 how = "lexical" if found is None else "parsed"
+                lines = re.split(r"\r\n|\r|\n", t)
                 for name, qualified, kind, a, b in lexical_definitions(t) if found is None else found:
-                    rows.append((p, name, qualified, kind, a + s - 1, b + s - 1, how))
+                    rows.append((p, name, qualified, kind, a + s - 1, b + s - 1, how, exported(p, name, lines[a - 1])))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     s = F.coalesce(F.col(start_line).cast("int"), F.lit(1)) if start_line else F.lit(1)

@@ -133,17 +133,24 @@ def tests_for(uses: DataFrame, declared: DataFrame, paths: DataFrame, limit: int
     return t.select("name", "defined_in", "path", "uses", "line", F.when(F.col("high"), "high").otherwise("medium").alias("confidence"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= limit)
 
 
+#: A name with so many uses is plainly used.
+PLAINLY = 96
+
+
 def unused(definitions: DataFrame, lines: DataFrame) -> DataFrame:
-    """path, name, bucket (tests_only or private) of defined names with no use outside tests.
+    """path, name, start_line, bucket of defined names with no use outside tests: tests_only, exported (nothing here
+    uses it, but others may) or private. Each definition of a name is judged by itself.
 
-    definitions: path, name, start_line, end_line. Names under three letters, entry points, test names and
-    names defined in tests are no candidates; lines of docs and comments are no uses, nor is the definition's
-    own span; a name that is found nowhere at all is skipped.
+    definitions: path, name, start_line, end_line, exported. Names under three letters, entry points, test names and
+    names defined in tests are no candidates; lines of docs and comments are no uses, nor is the definition's own
+    span. A name that is found nowhere at all, or in `PLAINLY` lines or more, is skipped.
     """
     d = definitions.where((F.length("name") >= 3) & ~F.col("name").isin(ENTRY_POINTS) & ~F.col("name").rlike("^(Test|test_)") & ~X.is_test_path("path"))
+    d = materialize(d.select("path", "name", "start_line", "end_line", "exported").distinct(), "candidates")
     code = lines.where(~X.is_docs_path("path") & ~X.is_comment("path", "line_text"))
-    hits = word_uses(code, d).select("name", F.col("path").alias("upath"), F.col("line").alias("uline"))
-    spans = d.groupBy("name").agg(F.min("path").alias("path"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    outside = ~((F.col("upath") == F.col("path")) & F.col("uline").between(F.col("start_line"), F.col("end_line")))
-    j = spans.join(hits, "name").groupBy("path", "name").agg(F.count_if(outside & ~X.is_test_path("upath")).alias("used"), F.count_if(outside & X.is_test_path("upath")).alias("tested"))
-    return j.where("used = 0").select("path", "name", F.when(F.col("tested") > 0, "tests_only").otherwise("private").alias("bucket"))
+    hits = materialize(word_uses(code, d).select("name", F.col("path").alias("upath"), F.col("line").alias("uline")), "hits")
+    rare = hits.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < PLAINLY).select("name")  # so no name meets many uses
+    own = (F.col("upath") == F.col("path")) & F.col("uline").between(F.col("start_line"), F.col("end_line"))
+    test = X.is_test_path("upath")
+    j = d.join(rare, "name").join(hits, "name").groupBy(*d.columns).agg(F.count_if(~own & ~test).alias("used"), F.count_if(~own & test).alias("tested"))
+    return j.where("used = 0").select("path", "name", "start_line", F.when(F.col("tested") > 0, "tests_only").when(F.col("exported"), "exported").otherwise("private").alias("bucket"))

@@ -180,7 +180,8 @@ def question_intents(spark, folder):
 
 def prompt_gate(spark, folder):
     q = table(spark, folder, "questions").where("question IS NOT NULL")
-    return q.select("qid", Q.gate_reason(F.col("question")).alias("reason"), Q.code_names("question").alias("names"))
+    q = q.select("qid", "question", Q.code_names("question").alias("names"))
+    return q.select("qid", Q.gate_reason(F.col("question"), F.col("names")).alias("reason"), "names")
 
 
 def porter_stems(spark, folder):

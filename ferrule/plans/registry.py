@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ferrule.plans import lexical, logs, relations, trailing
+from ferrule.plans import answers, lexical, logs, relations, trailing
 
-MODULES = [trailing, lexical, relations, logs]
+MODULES = [trailing, lexical, relations, answers, logs]
 
 
 def queries() -> dict[str, Callable]:
