@@ -141,12 +141,13 @@ def unused(definitions: DataFrame, lines: DataFrame) -> DataFrame:
     """path, name, start_line, bucket of defined names with no use outside tests: tests_only, exported (nothing here
     uses it, but others may) or private. Each definition of a name is judged by itself.
 
-    definitions: path, name, start_line, end_line, exported. Names under three letters, entry points, test names and
+    definitions: path, name, start_line, end_line, and exported, where that is known. Names under three letters, entry points, test names and
     names defined in tests are no candidates; lines of docs and comments are no uses, nor is the definition's own
     span. A name that is found nowhere at all, or in `PLAINLY` lines or more, is skipped.
     """
     d = definitions.where((F.length("name") >= 3) & ~F.col("name").isin(ENTRY_POINTS) & ~F.col("name").rlike("^(Test|test_)") & ~X.is_test_path("path"))
-    d = materialize(d.select("path", "name", "start_line", "end_line", "exported").distinct(), "candidates")
+    exported = F.col("exported") if "exported" in d.columns else F.lit(False).alias("exported")
+    d = materialize(d.select("path", "name", "start_line", "end_line", exported).distinct(), "candidates")
     code = lines.where(~X.is_docs_path("path") & ~X.is_comment("path", "line_text"))
     hits = materialize(word_uses(code, d).select("name", F.col("path").alias("upath"), F.col("line").alias("uline")), "hits")
     rare = hits.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < PLAINLY).select("name")  # so no name meets many uses

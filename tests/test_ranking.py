@@ -94,7 +94,7 @@ def test_usages_and_unused(spark):
     kinds = {(r["path"], r["line"]): r["kind"] for r in uses.collect()}
     assert kinds[("b.py", 1)] == "call" and kinds[("b.py", 2)] == "mention"
     defs = spark.createDataFrame([("a.py", "helper_one", 1, 2), ("a.py", "helper_two", 5, 5)], "path string, name string, start_line int, end_line int")
-    assert [tuple(r) for r in usages.unused(defs, df).collect()] == [("a.py", "helper_two", "tests_only")]
+    assert [tuple(r) for r in usages.unused(defs, df).collect()] == [("a.py", "helper_two", 5, "tests_only")]
 
 
 def stored(spark, tmp_path, rows):

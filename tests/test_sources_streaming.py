@@ -43,11 +43,40 @@ def test_session_memory_stream(spark, tmp_path):
 
 
 def test_incremental_refresh(spark, tmp_path):
-    schema = "path string, text string, digest string"
-    for rows in ([("a", "one", "1"), ("b", "two", "2")], [("a", "three", "3")]):
+    """Of two versions in one batch the later counts, whatever their digests; deleted files and versions without rows
+    leave none behind; a batch that runs again changes nothing."""
+    schema = "path string, text string, digest string, modified long"
+    write = sessions.refresh_into(str(tmp_path / "out"), lambda df: df.where("text <> ''").select("path", F.length("text").alias("n")))
+    batches = [[("a", "one", "9", 1), ("a", "three", "1", 2), ("b", "two", "2", 1), ("c", "gone", "3", 1), ("d", "x", "4", 1)], [("c", None, "0", 5), ("d", "", "5", 5)]]
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        write = sessions.refresh_into(str(tmp_path / "out"), lambda df: df.select("path", F.length("text").alias("n")))
         stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = sessions.latest(spark.read.parquet(str(tmp_path / "out/*")))
+    write(spark.createDataFrame(batches[1], schema), 1)
+    got = sessions.latest(spark, str(tmp_path / "out"))
     assert {(r["path"], r["n"]) for r in got.collect()} == {("a", 5), ("b", 3)}
+
+
+def test_largest_skipped_files(spark):
+    rows = [("a", "too_large", 10), ("b", "binary", 99), ("c", "too_large", 30), ("d", None, 5), ("e", "too_large", 30)]
+    got = files.skipped(spark.createDataFrame(rows, "path string, skip string, bytes long"), 3).orderBy("place").collect()
+    assert [r["path"] for r in got] == ["c", "e", "a"]
+
+
+def test_ignored_files(spark, tmp_path):
+    for name in ("a.txt", "b.log"):
+        (tmp_path / name).write_text("x\n")
+    ignored = spark.createDataFrame([(r"\.log$",)], "pattern string")
+    assert [r["path"] for r in files.read_workspace(spark, str(tmp_path), ignored).collect()] == ["a.txt"]
+
+
+def test_sessions_release_only_their_own(spark):
+    from ferrule import session
+
+    kept = session.materialize(spark.range(3), "kept")
+    other = spark.newSession()
+    other.conf.set("ferrule.shared.dir", session.shared_dir(spark))
+    session.materialize(other.range(2), "other")
+    assert session.session_dir(other) != session.session_dir(spark)
+    session.release(other)
+    assert kept.count() == 3
