@@ -125,7 +125,14 @@ def overlap_suppressed(spark, folder):
 
 
 def implementation_quota(spark, folder):
-    return ranking.implementation_quota(_given(spark, folder)).select("qid", "rank", "chunk_id")
+    tests = ranking.about_tests(table(spark, folder, "questions"))
+    return ranking.implementation_quota(_given(spark, folder), tests=tests).select("qid", "rank", "chunk_id")
+
+
+def fused_shortlist(spark, folder):
+    """The fused, de-overlapped list of each question in its workspace, by words as they are, before neighbours."""
+    _, kept = ranking.scored_and_kept(_chunks(spark, folder), table(spark, folder, "questions"))
+    return kept.select("qid", "rank", "chunk_id")
 
 
 def round_robin_merge(spark, folder):
@@ -190,7 +197,7 @@ def porter_stems(spark, folder):
 
 NAMES = [
     tokenize_chunks, path_features, text_features, validated_items, chunk_documents, chunk_lines, term_frequencies, document_frequencies, field_stats, declared_symbols, reference_weights, question_terms,
-    bm25_content, bm25_baseline, symbol_scores, shortlist, shortlist_neighbours, rrf_fusion, overlap_suppressed, implementation_quota, round_robin_merge, request_budget_cut, judged_results,
+    bm25_content, bm25_baseline, symbol_scores, shortlist, fused_shortlist, shortlist_neighbours, rrf_fusion, overlap_suppressed, implementation_quota, round_robin_merge, request_budget_cut, judged_results,
     recall_mrr, range_hits, accuracy_at_20, excerpt_coverage, dev_split, question_intents, prompt_gate, porter_stems,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
@@ -217,7 +224,27 @@ _EXT = "lower(split_part(path, '.', -1))"
 _in = lambda ws: ", ".join(f"'{w}'" for w in ws)
 _Q = lambda p: p.replace("'", "''")
 
+_FOLD = """list_reduce(list_transform(list({{'rn': rn, 'c': chunk_id, 's': start_line, 'e': end_line}} ORDER BY rn), lambda x: [x]), lambda a, b: CASE WHEN len(list_filter(a, lambda k:
+  least(k.e, b[1].e) - greatest(k.s, b[1].s) + 1 >= ceil((least(k.e - k.s, b[1].e - b[1].s) + 1) / 2))) > 0 THEN a ELSE list_concat(a, b) END)"""
+_KEPT = lambda rows, most: f"SELECT qid, path, u.c AS chunk_id, u.s AS start_line, u.e AS end_line, row_number() OVER (PARTITION BY qid ORDER BY u.rn, u.c) AS rank FROM (SELECT qid, path, unnest({_FOLD.format()}) AS u FROM {rows} GROUP BY qid, path) QUALIFY rank <= {most}"
+_SCOPED = "JOIN chunks c ON c.chunk_id = x.chunk_id JOIN questions q ON q.qid = x.qid AND q.workspace = c.workspace"
+
 ORACLE = {
+    "overlap_suppressed": f"WITH {_GIVEN} SELECT qid, rank, chunk_id FROM ({_KEPT('g', 60)})",
+    "fused_shortlist": _TF + f", {_QT}, {_PATH}, " + _SCORE.format("c", "tf", "toks") + ", " + _SCORE.format("p", "ptf", "ptoks") + f""", {_SYM}, {_WEIGHT}, nsym AS (SELECT *, row_number() OVER () AS o FROM sym), stoks AS (SELECT o AS key, {_TOK.format('name')} AS t FROM nsym),
+      stf AS (SELECT key, term, count(*) AS tf, any_value(l) AS len FROM (SELECT key, len(t) AS l, unnest(t) AS term FROM stoks) GROUP BY key, term), """ + _SCORE.format("s", "stf", "stoks") + f""",
+      ys AS (SELECT xs.qid, n.chunk_id, max(xs.score * w.weight) AS score FROM xs JOIN nsym n ON n.o = xs.chunk_id JOIN wt w ON w.path = n.path AND w.name = n.name GROUP BY 1, 2),
+      al AS (SELECT qid, chunk_id, sum(b) AS base, sum(b) + sum(s) AS aware FROM (SELECT qid, chunk_id, score AS b, 0.0 AS s FROM xc UNION ALL SELECT qid, chunk_id, 0.3 * score, 0.0 FROM xp UNION ALL SELECT qid, chunk_id, 0.0, score FROM ys) GROUP BY ALL),
+      sc AS (SELECT x.qid, x.chunk_id, round(base, 9) AS base, round(aware, 9) AS aware, c.path, c.start_line, c.end_line FROM al x {_SCOPED}),
+      la AS (SELECT qid, chunk_id, 1 / (60 + row_number() OVER (PARTITION BY qid ORDER BY base DESC, path, start_line, end_line)) AS r FROM sc WHERE base > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY base DESC, path, start_line, end_line) <= 120
+        UNION ALL SELECT qid, chunk_id, 1 / (60 + row_number() OVER (PARTITION BY qid ORDER BY aware DESC, path, start_line, end_line)) FROM sc WHERE aware > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY aware DESC, path, start_line, end_line) <= 120),
+      fu AS (SELECT qid, chunk_id, round(sum(r), 12) AS f FROM la GROUP BY ALL),
+      od AS (SELECT fu.qid, fu.chunk_id, sc.path, sc.start_line, sc.end_line, row_number() OVER (PARTITION BY fu.qid ORDER BY f DESC, sc.path, sc.start_line, sc.end_line) AS rn FROM fu JOIN sc ON sc.qid = fu.qid AND sc.chunk_id = fu.chunk_id)
+      SELECT qid, rank, chunk_id FROM ({_KEPT('od', 60)})""",
+    "implementation_quota": f"""WITH {_GIVEN}, tq AS (SELECT DISTINCT qid FROM (SELECT qid, unnest({_TOK.format('question')}) AS t FROM questions) WHERE t IN ('test', 'tests', 'tested', 'testing', 'spec', 'specs', 'fixture', 'fixtures')),
+      la AS (SELECT * FROM g WHERE regexp_matches(path, '{X.CODE_PATH}') AND (qid IN (SELECT qid FROM tq) OR NOT {_ISTEST})), fi AS ({_KEPT('la', 30)}),
+      un AS (SELECT qid, rank AS rn, chunk_id, path, start_line, end_line FROM fi UNION ALL SELECT qid, rn + 1000000, chunk_id, path, start_line, end_line FROM g WHERE NOT EXISTS (SELECT 1 FROM fi WHERE fi.qid = g.qid AND fi.chunk_id = g.chunk_id))
+      SELECT qid, rank, chunk_id FROM ({_KEPT('un', 60)})""",
     "tokenize_chunks": f"SELECT chunk_id, array_to_string({_TOK.format('text')}, ' ') AS tokens FROM chunks",
     "path_features": f"""SELECT DISTINCT path, {_ISTEST} AS is_test, {_EXT} IN ({_in(X.DOCS_EXTENSIONS)}) AS is_docs,
       {_EXT} IN ({_in(X.DATA_EXTENSIONS)}) OR regexp_matches(lower(path), '^(scripts?|db)/|/(fixtures|locales|locale|generated)/|\\.min\\.js$') AS is_data,

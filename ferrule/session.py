@@ -55,11 +55,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """A join side of a few short columns, written once; broadcast if it has at most `most` rows, else left to
-    a shuffle join. The check is a count, so what is sent to the executors has a proven bound."""
+def small_side(df: DataFrame, most: int = 200_000, size: int = 32 * 1024 * 1024) -> DataFrame:
+    """A join side of a few short columns, written once; broadcast if it has at most `most` rows and `size` bytes in
+    its files, else left to a shuffle join. Both are measured, so what is sent to the executors has a proven bound."""
     kept = materialize(df, "side")
-    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
+    held = int(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of the files just written
+    return F.broadcast(kept) if held <= size and kept.limit(most + 1).count() <= most else kept
 
 
 def spread(df: DataFrame) -> DataFrame:
