@@ -30,6 +30,18 @@ def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.percentiles(merged, ["client_name"], {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
+def p6_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each percentile of `p6_percentiles` stands where it should among all values of its client: its rank is
+    off by at most 2 % of the values above it, five standard errors, and one."""
+    ranks = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    found = p6_percentiles(spark, folder)  # one row a client
+    values = quantiles.records_once(table(spark, folder, "records")).where("wall IS NOT NULL").select(F.col("client_name").alias("c"), F.col("wall").cast("double").alias("v"))
+    below = [F.count_if(F.col("v") < F.col(r)).alias(f"{r}_lt") for r in ranks] + [F.count_if(F.col("v") <= F.col(r)).alias(f"{r}_le") for r in ranks]
+    g = values.join(F.broadcast(found.drop("n")), F.col("c").eqNullSafe(F.col("client_name"))).groupBy("client_name").agg(F.count(F.lit(1)).alias("n"), *below)
+    within = lambda r, q: F.greatest(F.col("n") * q - F.col(f"{r}_le"), F.col(f"{r}_lt") - F.col("n") * q) <= 0.02 * (1 - q) * F.col("n") + 1
+    return g.select("client_name", "n", *[within(r, q).alias(r) for r, q in ranks.items()])
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks")).where("piece = 0").select("chunk_id").distinct()
 
@@ -66,7 +78,7 @@ def p9_check(spark: SparkSession, folder: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("documents"), torn.alias("torn")).crossJoin(F.broadcast(full.agg(F.count_if(F.col("filled") > 2048).alias("too_full"))))  # two single rows
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p6_found, p6_percentiles, p7_found, p7_pieces, p7_check, p8_ids, p9_containers, p9_check)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p6_found, p6_percentiles, p6_check, p7_found, p7_pieces, p7_check, p8_ids, p9_containers, p9_check)}
 
 _CANDIDATES = """
 WITH u AS (
@@ -108,6 +120,7 @@ SELECT DISTINCT s.runId AS run_id, s.client.name AS client_name, s.condition.req
 FROM summary s JOIN p ON s.runId = p.runId AND lower(trim(s.client.name)) = p.client_name AND s.condition.requested IS NOT DISTINCT FROM p.requested
 WHERE coalesce(abs(s.latencyNs.p95 - p.p95) > 0.05 * p.p95, true)
 """,
+    "p6_check": _SUCCEEDED + "SELECT client_name, count(*) AS n, true AS median, true AS p90, true AS p95, true AS p99 FROM ok GROUP BY client_name",
     "p7_check": "SELECT chunk_id, 0::BIGINT AS too_large, start_line AS first_line, md5(text) AS joined FROM chunks WHERE strlen(text) > 4000",
     "p9_check": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS torn, 0::BIGINT AS too_full FROM documents",
     "p7_found": "SELECT chunk_id FROM chunks WHERE strlen(text) > 4000",
