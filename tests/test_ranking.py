@@ -178,3 +178,33 @@ def test_scorer_rejects_bad_answers(spark):
         assert "between 0 and 1" in str(e)
     else:
         raise AssertionError("a score above 1 passed")
+
+
+def test_pairs_of_questions_and_chunks_are_not_shuffled(spark, tmp_path):
+    folder = stored(spark, tmp_path, [("quartz.md", 1, 1, "quartz quartz filler"), ("other.md", 1, 1, "filler")])
+    questions(spark, "quartz", "filler quartz", "nothing").write.parquet(f"{tmp_path}/questions.parquet")
+    got = lexical.bm25_baseline(spark, folder)
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[:2] for r in got.collect()) == [(0, 0), (1, 0), (1, 1)]
+
+
+def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    rows = [(f"lib/{w}.md", 1, 1, f"alpha {w} {'gamma ' * (i % 4)}") for i, w in enumerate("quartz Beta delta HTTPServer alpha".split() * 3)] + [("none.md", 1, 1, None), ("empty", 1, 1, "")]
+    c, q = chunks(spark, rows), questions(spark, "alpha beta gamma", "where is the server", None, "nothing", "md lib", "alpha " + " ".join(f"w{i}" for i in range(9)))
+    want = {(r["qid"], r["chunk_id"]): round(r["baseline"], 9) for r in ranking.scores(c, q, with_symbols=False).collect()}
+    assert len(want) > 30
+    terms = ranking.question_terms(q)
+    for asked, cells in ((200_000, 400_000), (7, 3), (16, 40)):  # all at once; words and questions in blocks; questions in blocks
+        monkeypatch.setattr(ranking, "ASKED", asked)
+        monkeypatch.setattr(ranking, "CELLS", cells)
+        got = ranking.baseline(c, terms.unionByName(terms)).collect()  # a term that is asked twice counts once
+        assert {(r["qid"], r["key"]): round(r["score"], 9) for r in got} == want and len(got) == len(want)
+    assert ranking.baseline(c, terms.where("false")).count() == 0
+
+
+def test_chunks_of_one_id_and_without_id_are_summed(spark):
+    rows = [(7, "w", "a.md", 1, 1, "quartz filler"), (7, "w", "b.md", 1, 1, "quartz quartz"), (None, "w", "c.md", 1, 1, "quartz"), (None, "w", "d.md", 1, 1, "quartz"), (8, "w", "e.md", 1, 1, "quartz x")]
+    c, q = spark.createDataFrame(rows, CHUNK), questions(spark, "quartz", "md")
+    want = {(r["qid"], r["chunk_id"]): round(r["baseline"], 9) for r in ranking.scores(c, q, with_symbols=False).collect()}
+    got = ranking.baseline(c, ranking.question_terms(q)).collect()
+    assert len(got) == 6 and {(r["qid"], r["key"]): round(r["score"], 9) for r in got} == want
