@@ -208,3 +208,13 @@ def test_chunks_of_one_id_and_without_id_are_summed(spark):
     want = {(r["qid"], r["chunk_id"]): round(r["baseline"], 9) for r in ranking.scores(c, q, with_symbols=False).collect()}
     got = ranking.baseline(c, ranking.question_terms(q)).collect()
     assert len(got) == 6 and {(r["qid"], r["key"]): round(r["score"], 9) for r in got} == want
+
+
+def test_content_pairs_are_not_shuffled(spark, tmp_path):
+    folder = stored(spark, tmp_path, [("quartz.md", 1, 1, "quartz quartz filler"), ("quartz2.md", 1, 1, "filler")])
+    questions(spark, "quartz", "filler quartz", "nothing").write.parquet(f"{tmp_path}/questions.parquet")
+    got = lexical.bm25_content(spark, folder)
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {(r["qid"], r["chunk_id"]): r["score"] for r in got.collect()}
+    want = round(math.log(2) * (2 * 2.2) / (2 + 1.2 * (0.25 + 0.75 * 1.5)), 6)
+    assert sorted(got) == [(0, 0), (1, 0), (1, 1)] and got[0, 0] == want  # paths have no part in it
