@@ -200,6 +200,8 @@ def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
         got = ranking.baseline(c, terms.unionByName(terms)).collect()  # a term that is asked twice counts once
         assert {(r["qid"], r["key"]): round(r["score"], 9) for r in got} == want and len(got) == len(want)
     assert ranking.baseline(c, terms.where("false")).count() == 0
+    got = ranking.baseline(c, terms, ("q", "c", "s"), 3).collect()
+    assert {(r["q"], r["c"]) for r in got} == set(want) and all(abs(r["s"] - want[r["q"], r["c"]]) < 0.00051 and r["s"] == round(r["s"], 3) for r in got)
 
 
 def test_chunks_of_one_id_and_without_id_are_summed(spark):
@@ -208,6 +210,8 @@ def test_chunks_of_one_id_and_without_id_are_summed(spark):
     want = {(r["qid"], r["chunk_id"]): round(r["baseline"], 9) for r in ranking.scores(c, q, with_symbols=False).collect()}
     got = ranking.baseline(c, ranking.question_terms(q)).collect()
     assert len(got) == 6 and {(r["qid"], r["key"]): round(r["score"], 9) for r in got} == want
+    got = ranking.baseline(c, ranking.question_terms(q), digits=3).collect()
+    assert {(r["qid"], r["key"]): r["score"] for r in got} == {k: round(v, 3) for k, v in want.items()}
 
 
 def test_content_pairs_are_not_shuffled(spark, tmp_path):
